@@ -13,4 +13,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
 
 
-PARTS = ("rolling",)
+PARTS = ("rolling", "rules", "joins")

@@ -16,6 +16,10 @@ VIEWS = {
         arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
         arg_max(value, (ts, event_id)) AS close, sum(value) AS volume, count(*) AS n
         FROM events GROUP BY 1, 2""",
+    "regimes": """SELECT *, lag(regime) OVER (PARTITION BY symbol ORDER BY ts, seq) AS previous FROM (
+        SELECT 'S' || user_id AS symbol, ts, event_id AS seq, value AS price, least(value / 100, 1.0) AS confidence,
+        CASE event_type WHEN 'view' THEN 'low_vol_bull' WHEN 'click' THEN 'high_vol_bear' WHEN 'purchase' THEN 'stable_range'
+        WHEN 'signup' THEN 'crisis' WHEN 'error' THEN 'high_vol_range' END AS regime FROM events)""",
     "metric_days": """SELECT 'S' || user_id AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, event_type AS metric,
         avg(value) AS value, count(*) AS n FROM events GROUP BY 1, 2, 3""",
     "fills": """SELECT 'P' || l_suppkey AS symbol, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq,

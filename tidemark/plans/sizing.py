@@ -18,7 +18,7 @@ DEFAULT_BROADCAST_MB = 32
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer estimate of the output size, or None where the session cannot tell."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # a remote session has no plan handle
         return None
 

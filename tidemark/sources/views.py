@@ -151,3 +151,18 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
+
+
+# Regime read from the event type.
+CHANNEL_REGIME = {"view": "low_vol_bull", "click": "high_vol_bear", "purchase": "stable_range", "signup": "crisis", "error": "high_vol_range"}
+
+
+def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regime classifications per symbol, with the previous regime and a confidence in 0..1."""
+    from tidemark.plans.series import TICKS, over_rows
+
+    label = None
+    for k, v in CHANNEL_REGIME.items():
+        label = F.when(F.col("channel") == k, v) if label is None else label.when(F.col("channel") == k, v)
+    d = ticks(spark, sf_dir).withColumns({"regime": label, "confidence": F.least(F.col("price") / 100, F.lit(1.0))})
+    return over_rows(d, TICKS, lambda x, w: x.withColumn("previous", F.lag("regime", 1).over(w)), before=1)
