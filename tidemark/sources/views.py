@@ -128,15 +128,15 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly price/volume series per nation, the symbols of the correlation graph."""
+def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly price/volume series per nation, the symbols of the correlation graph."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return (
         orders.join(customers, orders.o_custkey == customers.c_custkey)
         .groupBy(
             F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("symbol"),
-            F.date_trunc("week", F.col("o_orderdate").cast("timestamp")).alias("ts"),
+            F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("ts"),
         )
         .agg(
             F.avg("o_totalprice").alias("close"),
