@@ -13,4 +13,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
 
 
-PARTS = ("rolling", "rules", "joins")
+PARTS = ("rolling", "rules", "joins", "aggregates")

@@ -22,14 +22,14 @@ VIEWS = {
         WHEN 'signup' THEN 'crisis' WHEN 'error' THEN 'high_vol_range' END AS regime FROM events)""",
     "metric_days": """SELECT 'S' || user_id AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, event_type AS metric,
         avg(value) AS value, count(*) AS n FROM events GROUP BY 1, 2, 3""",
-    "fills": """SELECT 'P' || l_suppkey AS symbol, l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq,
+    "fills": """SELECT 'P' || l_suppkey AS symbol, l_shipdate AS ts, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS seq,
         CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity,
         l_extendedprice / l_quantity AS price, l_extendedprice * l_tax AS fee, l_orderkey AS order_id,
         l_linestatus AS book_side FROM lineitem""",
     "levels": """SELECT l_orderkey AS book_id, 'P' || l_suppkey AS symbol, l_shipdate AS ts,
-        l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
+        (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS seq, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
         round(l_extendedprice / l_quantity, 2) AS price, l_quantity AS quantity FROM lineitem""",
-    "closed_trades": """SELECT l_orderkey * 10 + l_linenumber AS trade_id, 'P' || l_suppkey AS pair, o_custkey AS account,
+    "closed_trades": """SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS trade_id, 'P' || l_suppkey AS pair, o_custkey AS account,
         o_orderdate AS entry_time, l_shipdate AS exit_time, l_extendedprice * (l_discount - l_tax) AS pnl,
         l_extendedprice AS notional, l_quantity AS quantity,
         CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS side,

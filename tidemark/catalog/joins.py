@@ -122,11 +122,11 @@ def symbol_pairs(spark, sf):
 
 def _links(spark, sf):
     line = V.table(spark, sf, "lineitem")
-    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"), (F.col("l_orderkey") + F.col("l_partkey")).alias("order_id"),
+    return line.select(V.line_id().alias("trade_id"), (F.col("l_orderkey") + F.col("l_partkey")).alias("order_id"),
                        F.when(F.col("l_returnflag") == "R", "exit").otherwise("entry").alias("role"))
 
 
-LINKS = "links AS (SELECT l_orderkey * 10 + l_linenumber AS trade_id, l_orderkey + l_partkey AS order_id, CASE WHEN l_returnflag = 'R' THEN 'exit' ELSE 'entry' END AS role FROM lineitem)"
+LINKS = "links AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS trade_id, l_orderkey + l_partkey AS order_id, CASE WHEN l_returnflag = 'R' THEN 'exit' ELSE 'entry' END AS role FROM lineitem)"
 
 
 def _link_sides(spark, sf):
@@ -136,13 +136,13 @@ def _link_sides(spark, sf):
 
 
 @query("j12_trade_order_link", sql("", f"""WITH {LINKS} SELECT trade_id, order_id, role FROM links WHERE order_id IN (SELECT o_orderkey FROM orders)
- AND trade_id IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'O')"""))
+ AND trade_id IN (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'O')"""))
 def trade_order_link(spark, sf):
     return J.trade_order_link(_links(spark, sf), *_link_sides(spark, sf))
 
 
 @query("j12b_unlinked", sql("", f"""WITH {LINKS} SELECT trade_id, order_id, role, 'order' AS missing FROM links WHERE order_id NOT IN (SELECT o_orderkey FROM orders)
-UNION ALL SELECT trade_id, order_id, role, 'trade' FROM links WHERE trade_id NOT IN (SELECT l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'O')"""))
+UNION ALL SELECT trade_id, order_id, role, 'trade' FROM links WHERE trade_id NOT IN (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'O')"""))
 def unlinked(spark, sf):
     return J.unlinked(_links(spark, sf), *_link_sides(spark, sf))
 

@@ -44,14 +44,17 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     ])
     brackets = sketch.select(*keys, wanted.alias("_w"))
     joined = data.join(brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))
-    # one row per (key, percentile, value inside the bracket); everything below collapses to one row
-    marks = joined.select(*keys, "_v", F.explode("_w").alias("_b")).filter("_v <= _b.hi")
-    below = F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v"))
-    counted = marks.groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), below.alias("_x")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first())
+    # Every row falls below, inside or above the bracket of each rank. Inside, rows are counted by value;
+    # outside only the count and the value next to the bracket are kept, as the rank can lie one row off.
+    marks = joined.select(*keys, "_v", F.explode("_w").alias("_b"))
+    side = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") <= F.col("_b.hi"), 1).otherwise(2)
+    counted = marks.groupBy(
+        *keys, F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), side.alias("_side"),
+        F.when(side == 1, F.col("_v")).alias("_x"),
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    w = Window.partitionBy(*keys, "_i").orderBy("_side", "_x")
     ranked = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranked = ranked.withColumn("_x", F.when(F.col("_side") == 0, F.col("_most")).otherwise(F.col("_least")))
     lower = (F.floor("_rank") >= F.col("_start")) & (F.floor("_rank") < F.col("_end"))
     upper = (F.ceil("_rank") >= F.col("_start")) & (F.ceil("_rank") < F.col("_end"))
     picked = ranked.groupBy(*keys, "_i", "_rank").agg(

@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_id() -> F.Column:
+    """Unique id of a line item: order, line and part together."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey") % 1_000_000
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: symbol, ts, seq, price, channel, props."""
     return table(spark, sf_dir, "events").select(
@@ -65,7 +70,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        line_id().alias("seq"),
         F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -81,7 +86,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("book_id"),
         F.concat(F.lit("P"), (F.col("l_suppkey")).cast("string")).alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        line_id().alias("seq"),
         F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"),
         F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
         F.col("l_quantity").alias("quantity"),
@@ -100,7 +105,7 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
+        line_id().alias("trade_id"),
         F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("pair"),
         F.col("o_custkey").alias("account"),
         F.col("o_orderdate").cast("timestamp").alias("entry_time"),
