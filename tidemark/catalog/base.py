@@ -28,7 +28,13 @@ VIEWS = {
         l_linestatus AS book_side FROM lineitem""",
     "levels": """SELECT l_orderkey AS book_id, 'P' || l_suppkey AS symbol, l_shipdate AS ts,
         (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS seq, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
-        round(l_extendedprice / l_quantity, 2) AS price, l_quantity AS quantity FROM lineitem""",
+        floor(l_extendedprice / l_quantity * 100 + 0.5003) / 100.0 AS price, l_quantity AS quantity FROM lineitem""",
+    "quotes": """SELECT 'S' || user_id AS symbol, ts, event_id AS seq, event_type AS channel, value - 0.5 AS bid, value + 0.5 AS ask,
+        (1 + event_id % 10)::DOUBLE AS bid_qty, (1 + event_id % 7)::DOUBLE AS ask_qty FROM events""",
+    "quote_orders": """SELECT 'S' || user_id AS symbol, ts, event_id AS seq, event_id AS order_id,
+        CASE WHEN event_type IN ('view', 'click') THEN 'buy' ELSE 'sell' END AS side, (1 + event_id % 5)::DOUBLE AS quantity,
+        CASE WHEN event_type IN ('view', 'click') THEN value * 0.7 ELSE value * 1.3 END AS limit_price,
+        CASE WHEN event_type IN ('view', 'click') THEN value * 1.4 ELSE value * 0.6 END AS stop_price FROM events""",
     "closed_trades": """SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey % 1000000 AS trade_id, 'P' || l_suppkey AS pair, o_custkey AS account,
         o_orderdate AS entry_time, l_shipdate AS exit_time, l_extendedprice * (l_discount - l_tax) AS pnl,
         l_extendedprice AS notional, l_quantity AS quantity,

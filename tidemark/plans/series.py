@@ -207,3 +207,19 @@ def asof(
         hit = hit.withColumn("_last", F.when(gap <= tolerance_s, F.col("_last")))
     kept = [c for c in left.columns]
     return hit.select(*kept, F.col("_last._ts").alias(right_ts), *[F.col(f"_last.{n}").alias(n) for n in take.values()])
+
+
+def over_time(
+    df: DataFrame, s: Series, reach_s: float, build: Callable[[DataFrame, WindowSpec], DataFrame]
+) -> DataFrame:
+    """Run ``build(df, window)`` where every frame looks back at most ``reach_s`` seconds. The window is
+    ordered by ``_t`` (epoch seconds), for range frames. Cells get copies of the rows just before them."""
+    timed = df.withColumn("_t", F.unix_micros(F.col(s.order[0]).cast("timestamp")) / F.lit(1e6))
+    if s.bounded or is_small(df):
+        return build(timed, Window.partitionBy(*s.keys).orderBy("_t")).drop("_t")
+    width = _cell_width(df, s)
+    own = _cell(s, width)
+    last = F.floor((F.unix_micros(F.col(s.order[0]).cast("timestamp")) + F.lit(int(reach_s * 1e6))) / F.lit(width)).cast("long")
+    cells = timed.withColumn("_own", own).withColumn("_cell", F.explode(F.sequence(F.col("_own"), F.coalesce(last, F.col("_own")))))
+    out = build(cells, Window.partitionBy(*s.keys, "_cell").orderBy("_t"))
+    return out.filter("_cell = _own").drop("_t", "_own", "_cell")

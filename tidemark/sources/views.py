@@ -88,7 +88,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         line_id().alias("seq"),
         F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+        (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5003) / 100.0).alias("price"),
         F.col("l_quantity").alias("quantity"),
     )
 
@@ -171,3 +171,30 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
         label = F.when(F.col("channel") == k, v) if label is None else label.when(F.col("channel") == k, v)
     d = ticks(spark, sf_dir).withColumns({"regime": label, "confidence": F.least(F.col("price") / 100, F.lit(1.0))})
     return over_rows(d, TICKS, lambda x, w: x.withColumn("previous", F.lag("regime", 1).over(w)), before=1)
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quote per tick: half a unit either side of the price, sizes from the sequence number."""
+    return ticks(spark, sf_dir).select(
+        "symbol", "ts", "seq", "channel", (F.col("price") - 0.5).alias("bid"), (F.col("price") + 0.5).alias("ask"),
+        (1 + F.col("seq") % 10).cast("double").alias("bid_qty"), (1 + F.col("seq") % 7).cast("double").alias("ask_qty"),
+    )
+
+
+def quote_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order beside every tick: buys on views and clicks, with a limit and a stop around the price."""
+    buy = F.col("channel").isin("view", "click")
+    return ticks(spark, sf_dir).select(
+        "symbol", "ts", "seq", F.col("seq").alias("order_id"), F.when(buy, "buy").otherwise("sell").alias("side"),
+        (1 + F.col("seq") % 5).cast("double").alias("quantity"),
+        F.when(buy, F.col("price") * 0.7).otherwise(F.col("price") * 1.3).alias("limit"),
+        F.when(buy, F.col("price") * 1.4).otherwise(F.col("price") * 0.6).alias("stop"),
+    )
+
+
+def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update id ranges of a feed with gaps where the sequence number ends in 7."""
+    from tidemark.plans.series import TICKS, with_position
+
+    d = with_position(ticks(spark, sf_dir), TICKS, "pos")
+    return d.select("symbol", "ts", "seq", (F.col("pos") * 2 - 1 + F.when(F.col("seq") % 10 == 7, 1).otherwise(0)).alias("first_id"), (F.col("pos") * 2).alias("final_id"))
