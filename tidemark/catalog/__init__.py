@@ -13,4 +13,4 @@ def load() -> tuple[dict, dict]:
     return QUERIES, ORACLES
 
 
-PARTS = ("rolling", "rules", "joins", "aggregates", "book", "store", "evaluation", "recursive")
+PARTS = ("rolling", "rules", "joins", "aggregates", "book", "store", "evaluation", "recursive", "models", "streaming")
