@@ -36,13 +36,13 @@ def clip_iqr(spark, sf):
 @query("m02_scale_robust", sql("bars", f"WITH q AS (SELECT {_QS} FROM bars) SELECT symbol, ts, {', '.join(r(f'({c} - q2_{c}) / (q3_{c} - q1_{c})') + f' AS {c}' for c in COLS)} FROM bars, q"))
 def scale_robust(spark, sf):
     b = V.bars_1h(spark, sf)
-    return shaped(FE.apply_scale(b, FE.fit_scale(b, COLS), COLS), columns="symbol ts " + " ".join(COLS))
+    return shaped(FE.apply_scale(b, FE.fit_scale(b, COLS)), columns="symbol ts " + " ".join(COLS))
 
 
 @query("m02b_scale_standard", sql("bars", f"WITH q AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in COLS)} FROM bars) SELECT symbol, ts, {', '.join(r(f'({c} - m_{c}) / s_{c}') + f' AS {c}' for c in COLS)} FROM bars, q"))
 def scale_standard(spark, sf):
     b = V.bars_1h(spark, sf)
-    return shaped(FE.apply_scale(b, FE.fit_scale(b, COLS, "standard"), COLS), columns="symbol ts " + " ".join(COLS))
+    return shaped(FE.apply_scale(b, FE.fit_scale(b, COLS, "standard")), columns="symbol ts " + " ".join(COLS))
 
 
 @query("m03_feature_pipeline", sql("ticks", f"""WITH {ONCHAIN_SQL},

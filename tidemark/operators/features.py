@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.maths import ratio
+from tidemark.functions.maths import clip
 from tidemark.functions.rules import severity
 from tidemark.operators import rolling as R
 from tidemark.plans.quantiles import exact_percentiles
@@ -14,47 +14,35 @@ from tidemark.plans.series import BARS, TICKS, Series
 from tidemark.session import checkpointed
 
 
-def column_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: q1, median and q3 of every column, from one pass over the stacked columns."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
-    ])).alias("_s")).select("_s.*")
-    per = exact_percentiles(long, ["column"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return per.agg(*[F.max(F.when(F.col("column") == c, F.col(q))).alias(f"_{q}_{c}") for c in columns for q in ("q1", "q2", "q3")])
+Fitted = dict[str, tuple[float, float]]
 
 
-def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, fitted: DataFrame | None = None) -> DataFrame:
-    """Clip each column to its quartiles widened by k interquartile ranges."""
-    d = df.crossJoin(F.broadcast(fitted if fitted is not None else column_quartiles(df, columns)))
+def column_quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+    """q1, median and q3 of every column from one pass over the stacked columns; columns without a value
+    are left out. Three numbers per column are what a fitted scaler holds."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    rows = exact_percentiles(long, ["column"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()
+    return {r["column"]: (r["q1"], r["q2"], r["q3"]) for r in rows}
 
-    def bound(c: str) -> Column:
-        q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
-        low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
-        return F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), low), high))
 
-    return d.withColumns({c: bound(c) for c in columns}).select(*df.columns)
+def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5, quartiles: dict | None = None) -> DataFrame:
+    """Clip each column to its quartiles widened by k interquartile ranges."""
+    q = quartiles if quartiles is not None else column_quartiles(df, columns)
+    bounds = {c: (v[0] - k * (v[2] - v[0]), v[2] + k * (v[2] - v[0])) for c, v in q.items() if c in columns}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), clip(c, *b)) for c, b in bounds.items()})
 
 
-def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "robust") -> DataFrame:
-    """One row of centres and widths, nulls counted as 0; a zero width reads 1."""
+def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "robust") -> Fitted:
+    """Centre and width of each column, nulls counted as 0; a zero width reads 1."""
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     if method == "robust":
-        q = column_quartiles(filled, columns)
-        pairs = {c: (F.col(f"_q2_{c}"), F.col(f"_q3_{c}") - F.col(f"_q1_{c}")) for c in columns}
-    else:
-        q = filled.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-        pairs = {c: (F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}
-    return q.select(*[e for c, (mid, width) in pairs.items() for e in (mid.alias(f"_mid_{c}"), F.when(width == 0, 1.0).otherwise(width).alias(f"_width_{c}"))])
-
-
-def apply_scale(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
-    d = df.crossJoin(F.broadcast(fitted))
-    scaled = {c: (F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"_mid_{c}")) / F.col(f"_width_{c}") for c in columns}
-    return d.withColumns(scaled).select(*df.columns)
+        return {c: (q2, (q3 - q1) or 1.0) for c, (q1, q2, q3) in column_quartiles(filled, columns).items()}
+    row = filled.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in columns}
 
 
-FLOW = "net_flow"
-WHALE = "whales"
+def apply_scale(df: DataFrame, fitted: Fitted) -> DataFrame:
+    return df.withColumns({c: (F.coalesce(F.col(c), F.lit(0.0)) - F.lit(mid)) / F.lit(width) for c, (mid, width) in fitted.items()})
 
 
 def feature_pipeline(metrics: DataFrame, s: Series = BARS, normalize: bool = True, base: Sequence[str] = ("net_flow", "addresses", "whales")) -> DataFrame:
@@ -77,8 +65,8 @@ def feature_pipeline(metrics: DataFrame, s: Series = BARS, normalize: bool = Tru
     made += ["flow_ratio", "flow_pressure", "tx_per_address", "whale_dominance", "hodl_ratio", "valuation", "bullish", "bearish", "momentum"]
     if normalize:
         numeric = [*base, *made]
-        d = clip_iqr(checkpointed(d), numeric)  # read three times below: two fits and the result
-        d = apply_scale(d, fit_scale(d, numeric), numeric)
+        d = clip_iqr(checkpointed(d), numeric)  # read three times: two fits and the result
+        d = apply_scale(d, fit_scale(d, numeric))
     d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in (*base, *made)})
     raw = F.map_from_arrays(F.array(*[F.lit(c) for c in (*base, *made)]), F.array(*[F.col(c) for c in (*base, *made)]))
     return d.select(

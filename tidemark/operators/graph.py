@@ -45,7 +45,7 @@ def graph_nodes(windows: DataFrame, scaled: bool = True) -> DataFrame:
         return a
     first_window = a.agg(F.min("window_id").alias("_w"))
     fit_on = a.crossJoin(F.broadcast(first_window)).filter("window_id = _w")
-    return apply_scale(a, fit_scale(fit_on, NODE_FEATURES, "robust"), NODE_FEATURES)
+    return apply_scale(a, fit_scale(fit_on, NODE_FEATURES, "robust"))
 
 
 def graph_edges(windows: DataFrame, value: str = "ret", threshold: float = 0.3, max_edges: int = 200) -> DataFrame:

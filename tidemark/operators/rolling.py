@@ -180,6 +180,10 @@ def atr_simple(df: DataFrame, n: int = 14, s: Series = BARS) -> DataFrame:
 
 def fill_gaps(df: DataFrame, value: str, out: str, s: Series = TICKS) -> DataFrame:
     """Carry the last value forward; rows before the first value take that first value."""
+    if s.bounded:
+        onward = s.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        past = F.last(value, ignorenulls=True).over(so_far(s.window()))
+        return df.withColumn(out, F.coalesce(past, F.first(value, ignorenulls=True).over(onward)))
     ahead = running(df, s, {out: ("last", F.col(value))})
     at = F.struct(*[F.col(c) for c in s.order])
     first = df.filter(F.col(value).isNotNull()).groupBy(*s.keys).agg(F.min_by(value, at).alias("_first"))
@@ -517,7 +521,12 @@ def cross_features(df: DataFrame) -> DataFrame:
 
 def composite_scores(df: DataFrame, s: Series = BARS) -> DataFrame:
     """Bullish, bearish and momentum scores; the whale z-score is taken over each key's whole series."""
-    stats = df.groupBy(*s.keys).agg(F.avg("whales").alias("_wm"), F.stddev_samp("whales").alias("_ws"))
+    def with_stats(d: DataFrame) -> DataFrame:
+        if s.bounded:
+            whole = Window.partitionBy(*s.keys)
+            return d.withColumns({"_wm": F.avg("whales").over(whole), "_ws": F.stddev_samp("whales").over(whole)})
+        stats = df.groupBy(*s.keys).agg(F.avg("whales").alias("_wm"), F.stddev_samp("whales").alias("_ws"))
+        return d.join(broadcast_if_small(stats), list(s.keys))
 
     def build(d: DataFrame, w) -> DataFrame:
         def change(c):
@@ -525,7 +534,7 @@ def composite_scores(df: DataFrame, s: Series = BARS) -> DataFrame:
 
         return d.withColumns({"_fm": change("net_flow"), "_am": change("addresses"), "_wmo": change("whales")})
 
-    d = over_rows(df, s, build, 7).join(broadcast_if_small(stats), list(s.keys))
+    d = with_stats(over_rows(df, s, build, 7))
     flow = F.coalesce(F.col("net_flow"), F.lit(0.0))
     whale = F.coalesce(ratio(F.col("whales") - F.col("_wm"), "_ws"), F.lit(0.0))
     return d.withColumns({
