@@ -331,3 +331,17 @@ SELECT symbol, status, last_seen, {r("(epoch_us(TIMESTAMP '2024-01-31') - epoch_
 def service_health(spark, sf):
     d = A.service_health(V.ticks(spark, sf).withColumn("status", F.col("channel")), F.expr("timestamp'2024-01-31'"), 86400.0, "symbol")
     return shaped(d, 3)
+
+
+@query("e23_latest_halts", sql("equity", f"""WITH d AS (SELECT strategy, date_trunc('month', ts)::TIMESTAMP AS day, arg_max(value, ts) AS end_value, max(value) AS high_water FROM equity GROUP BY 1, 2),
+s AS (SELECT *, lag(end_value) OVER (PARTITION BY strategy ORDER BY day) AS start_value, max(high_water) OVER (PARTITION BY strategy ORDER BY day) AS high FROM d),
+l AS (SELECT strategy, day, CASE WHEN start_value > 0 THEN (start_value - end_value) / start_value ELSE 0.0 END AS daily_loss, (high - end_value) / high AS drawdown FROM s)
+SELECT strategy, day, {rs('daily_loss drawdown')}, CASE WHEN daily_loss > 0.05 THEN 'daily_loss_limit' ELSE 'max_drawdown' END AS reason FROM l WHERE daily_loss > 0.05 OR drawdown > 0.15"""))
+def latest_halts(spark, sf):
+    from pyspark.sql import Window
+
+    from tidemark.operators.policy import latest_halts as run
+
+    d = V.equity(spark, sf).groupBy("strategy", F.date_trunc("month", "ts").alias("day")).agg(F.max_by("value", "ts").alias("end_value"), F.max("value").alias("high_water"))
+    d = d.withColumn("start_value", F.lag("end_value", 1).over(Window.partitionBy("strategy").orderBy("day")))
+    return shaped(run(d, ["strategy"]), columns="strategy day daily_loss drawdown reason")

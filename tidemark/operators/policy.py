@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.maths import clip, ratio
 from tidemark.functions.rules import is_high_volatility, is_trending
@@ -168,6 +168,19 @@ def order_risk_checks(
     }).drop("_sized")
 
 
+def latest_halts(daily: DataFrame, keys: list[str], daily_loss: float = 0.05, drawdown: float = 0.15) -> DataFrame:
+    """Days on which a key breaks the daily-loss or the drawdown limit, with the reason (loss first).
+    Daily rows are bounded by the calendar; the all-time high is a running maximum over them."""
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = daily.withColumns({
+        "daily_loss": F.when(F.col("start_value") > 0, (F.col("start_value") - F.col("end_value")) / F.col("start_value")).otherwise(0.0),
+        "_high": F.max("high_water").over(w),
+    })
+    d = d.withColumn("drawdown", F.coalesce(ratio(F.col("_high") - F.col("end_value"), "_high"), F.lit(0.0))).drop("_high")
+    reason = F.when(F.col("daily_loss") > daily_loss, "daily_loss_limit").when(F.col("drawdown") > drawdown, "max_drawdown")
+    return d.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def feedback_filter(anomalies: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
     """Damp the confidence of kinds with a high false-positive rate and drop what falls below 0.3."""
     from tidemark.plans.sizing import broadcast_if_small

@@ -91,11 +91,9 @@ def _fold_blocks(blocks: DataFrame, s: Series, step: Step, schema: str) -> DataF
         again = run(blocks.join(wrong.select(*cols), cols, "left_semi"), wrong)
         links = checkpointed(links.join(wrong, cols, "left_anti").unionByName(again))
 
-    def emit(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        state = pickle.loads(starts["_start"].iloc[0]) if len(starts) else None
+    def emit(rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        state = pickle.loads(begin["_start"].iloc[0]) if len(begin) else None
         return step(rows.sort_values("_pos", ignore_index=True), state)[0]
 
-    return blocks.groupBy(*cols).cogroup(starts.groupBy(*cols)).applyInPandas(
-        lambda rows, begin: emit(rows, begin) if len(rows) else pd.DataFrame(columns=[c.strip().split(" ")[0] for c in schema.split(",")]),
-        schema,
-    )
+    starts = starts.join(links.select(*cols), cols, "left_semi")  # the last block of a key starts nothing
+    return blocks.groupBy(*cols).cogroup(starts.groupBy(*cols)).applyInPandas(emit, schema)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.plans.sizing import is_small
+from tidemark.plans.sizing import is_small, settled
 
 RANK_ACCURACY = 100_000
 
@@ -24,6 +24,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         aggs = [F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]
         return data.groupBy(*keys).agg(*aggs)
 
+    data = settled(data)
     eps = 2.0 / RANK_ACCURACY
     names = list(probs)
     grid = [x for n in names for x in (max(0.0, probs[n] - eps), min(1.0, probs[n] + eps))]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.series import Series, with_blocks
-from tidemark.plans.sizing import is_small
+from tidemark.plans.sizing import is_small, settled
 
 
 def _walk(m: np.ndarray, b: np.ndarray, y: float) -> np.ndarray:
@@ -37,7 +37,7 @@ def affine_scan(df: DataFrame, s: Series, m: str, b: str, out: str, start: float
 
         return df.groupBy(*s.keys).applyInPandas(whole, ddl)
 
-    blocks = with_blocks(df, s).drop("_own", "_halo")
+    blocks = settled(with_blocks(df, s).drop("_own", "_halo"))
     cols = [*s.keys, "_blk"]
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
     head = ", ".join(f"`{c}` {kinds[c]}" for c in cols)

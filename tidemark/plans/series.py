@@ -19,7 +19,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
-from tidemark.plans.sizing import is_small
+from tidemark.plans.sizing import is_small, settled
 
 DAY_US = 86_400_000_000
 DEFAULT_CELL_ROWS = 2_000_000
@@ -85,6 +85,7 @@ def with_position(df: DataFrame, s: Series, name: str = "pos") -> DataFrame:
     """1-based dense position of each row within its key."""
     if s.bounded or is_small(df):
         return df.withColumn(name, F.row_number().over(s.window()).cast("long"))
+    df = settled(df)
     cells, cols = _with_cells(df, s)
     local = cells.withColumn("_rn", F.row_number().over(Window.partitionBy(*cols).orderBy(*s.order)))
     counts = cells.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -144,7 +145,7 @@ def running(df: DataFrame, s: Series, specs: Mapping[str, tuple[str, Column]]) -
         w = so_far(s.window())
         return values.withColumns({n: plain[k](F.col(f"_v_{n}")).over(w) for n, (k, _) in specs.items()}).drop(*drop)
 
-    cells, cols = _with_cells(values, s)
+    cells, cols = _with_cells(settled(values), s)
     w = so_far(Window.partitionBy(*cols).orderBy(*s.order))
     local = cells.withColumns({f"_l_{n}": plain[k](F.col(f"_v_{n}")).over(w) for n, (k, _) in specs.items()})
 
@@ -217,7 +218,8 @@ def over_time(
     timed = df.withColumn("_t", F.unix_micros(F.col(s.order[0]).cast("timestamp")) / F.lit(1e6))
     if s.bounded or is_small(df):
         return build(timed, Window.partitionBy(*s.keys).orderBy("_t")).drop("_t")
-    width = _cell_width(df, s)
+    timed = settled(timed)
+    width = _cell_width(timed, s)
     own = _cell(s, width)
     last = F.floor((F.unix_micros(F.col(s.order[0]).cast("timestamp")) + F.lit(int(reach_s * 1e6))) / F.lit(width)).cast("long")
     cells = timed.withColumn("_own", own).withColumn("_cell", F.explode(F.sequence(F.col("_own"), F.coalesce(last, F.col("_own")))))

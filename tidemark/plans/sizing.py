@@ -8,8 +8,12 @@ query both ways.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.session import checkpointed
+
 MB = 1024 * 1024
 DEFAULT_SMALL_MB = 64
 DEFAULT_BROADCAST_MB = 32
@@ -55,3 +59,20 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     size = estimated_bytes(df)
     limit = int(df.sparkSession.conf.get("tidemark.broadcast.mb", str(DEFAULT_BROADCAST_MB))) * MB
     return F.broadcast(df) if size is not None and size <= limit else df
+
+
+# operators after which reading an input twice would repeat a shuffle
+_HEAVY = re.compile(r"^[\s:+|-]*'?(Join|Aggregate|Window|Generate|Sort|RepartitionByExpression|Distinct|FlatMap\w*|MapIn\w*|CoGroup\w*)\b", re.M)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint an input that a split plan is about to read more than once, unless it is a plain scan.
+
+    Split primitives read rows and summaries of the same input; without this a chain of them would redo
+    the chain's shuffles once per reader.
+    """
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # a remote session has no plan handle
+        return checkpointed(df)
+    return checkpointed(df) if _HEAVY.search(plan) else df
