@@ -12,6 +12,7 @@ from tidemark.operators import comparison as C
 from tidemark.operators import rolling as R
 from tidemark.operators import validation as W
 from tidemark.plans.series import Series
+from tidemark.session import checkpointed
 from tidemark.sources import views as V
 
 MICROS = "make_timestamp(floor({})::BIGINT)"
@@ -34,7 +35,7 @@ def _tests(spark, sf):
 
 
 def _valid(spark, sf):
-    return W.embargo_filter(W.candidate_periods(_bounds(spark, sf)), _tests(spark, sf))
+    return checkpointed(W.embargo_filter(W.candidate_periods(_bounds(spark, sf)), _tests(spark, sf)))  # a few hundred rows, read often
 
 
 @query("v01_cv_test_periods", sql("equity", f'WITH {BOUNDS}, {TESTS} SELECT split_id, start, "end" FROM tests'))
@@ -64,7 +65,7 @@ CV = f"{BOUNDS}, {TESTS}, {CANDS}, {VALID}, {SELECTED}"
 
 
 def _train(spark, sf):
-    return W.select_periods(_valid(spark, sf), max_periods=3)
+    return checkpointed(W.select_periods(_valid(spark, sf), max_periods=3))  # a few rows per split
 
 
 @query("v04_cv_select_periods", sql("equity", f'WITH {CV} SELECT split_id, candidate, start, "end", {r("score")} AS score FROM train'))
@@ -101,7 +102,8 @@ f2 AS (SELECT *, raw_train AND NOT is_purged AS is_train FROM flags)"""
 
 
 def _intervals(spark, sf):
-    return W.interval_table(_train(spark, sf), _tests(spark, sf), _purged(spark, sf))
+    train, tests = _train(spark, sf), _tests(spark, sf)
+    return W.interval_table(train, tests, W.purge_periods(train, tests))
 
 
 def _flags(spark, sf):

@@ -58,22 +58,27 @@ def bocd_step(value: str, keep: list[str], hazard: float = 1 / 250, longest: int
     n = np.arange(longest + 1, dtype=float)
     alpha = alpha0 + n / 2
     kappa = kappa0 + n
+    df = 2 * alpha
+    power = (df + 1) / 2
+    stretch = (kappa + 1) / (alpha * kappa)
     lead = np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in alpha])
+    below = np.maximum(n - 1, 1)
 
     def predictive(x: float, data: np.ndarray, size: int) -> np.ndarray:
-        tail = data[::-1][: size - 1]
-        k = np.minimum(np.arange(1, size), len(tail)).astype(int)  # values that run length r can see
-        s1 = np.cumsum(tail)[k - 1] if len(tail) else np.zeros(0)
-        mean = s1 / np.maximum(k, 1)
-        base = tail.mean() if len(tail) else 0.0
-        dev = np.cumsum((tail - base) ** 2)[k - 1] - k * (mean - base) ** 2 if len(tail) else np.zeros(0)
-        var = np.where(k > 1, np.maximum(dev, 0.0) / np.maximum(k - 1, 1), 1.0)
-        mu = np.r_[mu0, (kappa0 * mu0 + k * mean) / kappa[k]]
-        beta = np.r_[beta0, beta0 + 0.5 * k * var + 0.5 * kappa0 * k * (mean - mu0) ** 2 / kappa[k]]
-        idx = np.r_[0, k]
-        scale2 = beta * (kappa[idx] + 1) / (alpha[idx] * kappa[idx])
-        df = 2 * alpha[idx]
-        logp = lead[idx] - 0.5 * np.log(scale2) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * scale2))
+        """Density of x under run lengths 0..size-1; run length k sees the last k values (x among them)."""
+        tail = data[: -size: -1] if size > 1 else data[:0]
+        k = n[1:size]
+        mean = np.cumsum(tail) / k
+        base = tail[:1].sum()
+        dev = np.cumsum((tail - base) ** 2) - k * (mean - base) ** 2
+        var = np.maximum(dev, 0.0) / below[1:size]
+        var[:1] = 1.0
+        mu, beta = np.empty(size), np.empty(size)
+        mu[0], beta[0] = mu0, beta0
+        mu[1:] = (kappa0 * mu0 + k * mean) / kappa[1:size]
+        beta[1:] = beta0 + 0.5 * k * (var + kappa0 * (mean - mu0) ** 2 / kappa[1:size])
+        scale2 = beta * stretch[:size]
+        logp = lead[:size] - 0.5 * np.log(scale2) - power[:size] * np.log1p((x - mu) ** 2 / (df[:size] * scale2))
         return np.maximum(np.exp(logp), 1e-10)
 
     def hazard_of(data: np.ndarray) -> float:
@@ -89,33 +94,47 @@ def bocd_step(value: str, keep: list[str], hazard: float = 1 / 250, longest: int
 
     keep_values = memory if adaptive else longest
 
+    def recent_deviation(values: np.ndarray, skip: int) -> np.ndarray:
+        """Population deviation of the last 20 values at each position from ``skip`` on."""
+        if len(values) <= 20:
+            return np.array([values[: i + 1].std() for i in range(skip, len(values))])
+        full = np.lib.stride_tricks.sliding_window_view(values, 20).std(axis=1)
+        head = [values[: i + 1].std() for i in range(19)]
+        return np.r_[head, full][skip:]
+
     def step(rows: pd.DataFrame, state):
-        seen, h, data, probs = state or (0, hazard, (), (1.0,))
-        data, probs = list(data), np.asarray(probs, float)
-        result = []
-        for x in rows[value].to_numpy(float):
-            if adaptive:
-                h = hazard_of(np.asarray(data)) if len(data) >= 50 else h
+        seen, h, past, probs = state or (0, hazard, (), (1.0,))
+        probs = np.asarray(probs, float)
+        skip = len(past)
+        values = np.r_[np.asarray(past, float), rows[value].to_numpy(float)]
+        p_out, likely_out = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
+        for j in range(len(rows)):
+            i = skip + j
+            x = values[i]
+            if adaptive and i >= 50:
+                h = hazard_of(values[max(0, i - memory): i])
             seen = min(seen + 1, warmup)
-            data = (data + [x])[-keep_values:]
-            arr = np.asarray(data)
-            p, likely = 0.0, int(np.argmax(probs))
             if seen >= warmup:
-                pred = predictive(x, arr, len(probs))
+                size = len(probs)
+                pred = predictive(x, values[: i + 1], size)
                 grow = pred * probs * (1 - h)
                 change = pred[0] * probs.sum() * h
                 total = grow.sum() + change
-                p = float(np.clip(change / total, 0.0, 1.0)) if total > 0 else 0.0
-                new = np.zeros(min(len(probs) + 1, longest))
-                new[0] = p
+                p_out[j] = min(1.0, max(0.0, change / total)) if total > 0 else 0.0
+                new = np.empty(min(size + 1, longest))
+                new[0] = p_out[j]
                 new[1:] = grow[: len(new) - 1]
-                probs = new / new.sum() if new.sum() > 0 else np.r_[1.0, np.zeros(len(new) - 1)]
-                likely = int(np.argmax(probs))
-            level = "very_high" if p >= 0.9 else "high" if p >= 0.7 else "medium" if p >= 0.5 else "low"
-            result.append((p, likely, float(arr[-20:].std()), level))
-        names = [c.split()[0] for c in BOCD_SCHEMA.split(", ")]
-        out = pd.concat([rows[keep].reset_index(drop=True), pd.DataFrame(result, columns=names)], axis=1)
-        return out, (seen, h, tuple(data), tuple(probs))
+                mass = new.sum()
+                if mass > 0:
+                    probs = new / mass
+                else:
+                    probs = np.zeros(len(new))
+                    probs[0] = 1.0
+            likely_out[j] = probs.argmax()
+        level = np.select([p_out >= 0.9, p_out >= 0.7, p_out >= 0.5], ["very_high", "high", "medium"], "low")
+        out = rows[keep].reset_index(drop=True)
+        out = out.assign(probability=p_out, run_length=likely_out, recent_std=recent_deviation(values, skip), level=level)
+        return out, (seen, h, tuple(values[-keep_values:].tolist()), tuple(probs.tolist()))
 
     return step
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.series import DEFAULT_BLOCK_ROWS, Series, asof, with_blocks, with_position
+from tidemark.plans.sizing import is_small
 
 
 def first_at_or_below(values: np.ndarray, starts: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -78,6 +79,14 @@ def _meet(queries: DataFrame, blocks: DataFrame, cols: Sequence[str], fn, ddl: s
     return queries.groupBy(*both).cogroup(series.groupBy(*both)).applyInPandas(fn, ddl)
 
 
+def _per_key(queries: DataFrame, series: DataFrame, keys: Sequence[str], fn, added: str) -> DataFrame:
+    """The small-input plan: one group per key, queries beside their series."""
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in (*keys, "_qid")] + [added])
+    series = series.select(*[F.col(c).alias(c) for c in series.columns])
+    return queries.groupBy(*keys).cogroup(series.groupBy(*keys)).applyInPandas(fn, ddl)
+
+
 def _chunked(queries: DataFrame, s: Series, qid: str, ts: str) -> DataFrame:
     rows = int(queries.sparkSession.conf.get("tidemark.block.rows", str(DEFAULT_BLOCK_ROWS)))
     placed = with_position(queries, Series(s.keys, (ts, qid)), "_qpos")
@@ -93,6 +102,16 @@ def first_touch(
     sign = 1.0 if below else -1.0
     keys = list(s.keys)
     data = series.select(*keys, *s.order, (F.col(value) * sign).alias("_v"))
+    if is_small(queries) and is_small(series):
+        asked = queries.select(*keys, F.col(ts).alias("_t"), F.col(qid).alias("_qid"), (F.col(limit) * sign).alias("_lim"))
+
+        def touch(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(list(s.order))
+            at = np.searchsorted(rows[s.order[0]].to_numpy(), q["_t"].to_numpy(), side="left")
+            hit = first_at_or_below(rows["_v"].to_numpy(float), at, q["_lim"].to_numpy(float))
+            return q[[*keys, "_qid"]].assign(hit_pos=hit + 1)[hit >= 0]
+
+        return _per_key(asked, data, keys, touch, "hit_pos bigint").withColumnRenamed("_qid", qid)
     blocks = with_blocks(data, s).select(*keys, "_blk", "_pos", "_v")
     starts = asof(
         queries.select(*keys, F.col(ts).alias(s.order[0]), F.col(qid).alias("_qid"), (F.col(limit) * sign).alias("_lim"), F.lit(0).cast("long").alias(s.order[1])),
@@ -137,6 +156,18 @@ def interval_extremes(queries: DataFrame, series: DataFrame, s: Series, qid: str
     keys = list(s.keys)
     ts, tie = s.order
     data = series.select(*keys, ts, tie, F.col(value).alias("_v"))
+    if is_small(queries) and is_small(series):
+        asked = queries.select(*keys, F.col(qid).alias("_qid"), F.col(start).alias("_t0"), F.col(end).alias("_t1"))
+
+        def extremes_of(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(list(s.order))
+            t = rows[ts].to_numpy()
+            lo, hi = np.searchsorted(t, q["_t0"].to_numpy(), side="left"), np.searchsorted(t, q["_t1"].to_numpy(), side="right") - 1
+            some = lo <= hi
+            low, high = range_extremes(rows["_v"].to_numpy(float), lo[some], hi[some])
+            return q[[*keys, "_qid"]][some].assign(low=low, high=high)
+
+        return _per_key(asked, data, keys, extremes_of, "low double, high double").withColumnRenamed("_qid", qid)
     placed = with_position(data, s, "_pos")
     q = queries.select(*keys, F.col(qid).alias("_qid"), F.col(start).alias(ts), F.col(end).alias("_end"), F.lit(0).cast("long").alias(tie))
     q = asof(q, placed, tuple(keys), {"_pos": "_p0"}, ts, tie, right_ts="_t0", forward=True)

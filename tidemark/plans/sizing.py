@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import checkpointed
 
 MB = 1024 * 1024
-DEFAULT_SMALL_MB = 64
+DEFAULT_SMALL_MB = 128
 DEFAULT_BROADCAST_MB = 32
 
 
@@ -28,7 +28,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 # a join's estimate is the product of its sides; inputs times this factor is nearer the truth
-JOIN_GROWTH = 8
+JOIN_GROWTH = 4
 
 
 def input_bytes(df: DataFrame) -> int | None:
