@@ -131,14 +131,24 @@ def threshold_signals(spark, sf):
     return shaped(Q.threshold_signals(d, TICKS, ["symbol", "seq"]))
 
 
-@query("st09_spread_signals")
+SPREAD = """z AS (SELECT *, CASE WHEN count(price) OVER w >= 2 THEN coalesce((price - avg(price) OVER w) / nullif(stddev_samp(price) OVER w, 0), 0) END AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks
+ WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+f AS (SELECT symbol, 0::BIGINT AS k, NULL::VARCHAR AS side, 'hold' AS signal FROM (SELECT DISTINCT symbol FROM z)
+ UNION ALL SELECT z.symbol, z.k, CASE WHEN z.z IS NULL THEN p.side WHEN p.side IS NULL THEN CASE WHEN z.z <= -1.0 THEN 'long' WHEN z.z >= 1.5 THEN 'short' END
+  WHEN abs(z.z) <= 0.5 OR (p.side = 'long' AND z.z < -4) OR (p.side = 'short' AND z.z > 4) THEN NULL ELSE p.side END,
+ CASE WHEN z.z IS NULL THEN 'hold' WHEN p.side IS NULL THEN CASE WHEN z.z <= -1.0 THEN 'entry_long' WHEN z.z >= 1.5 THEN 'entry_short' ELSE 'hold' END
+  WHEN abs(z.z) <= 0.5 THEN 'exit' WHEN (p.side = 'long' AND z.z < -4) OR (p.side = 'short' AND z.z > 4) THEN 'stop_loss' ELSE 'hold' END FROM f p JOIN z ON z.symbol = p.symbol AND z.k = p.k + 1)"""
+
+
+@query("st09_spread_signals", sql("ticks", f"""WITH RECURSIVE {SPREAD} SELECT symbol, seq, signal, side, {r("CASE signal WHEN 'entry_long' THEN price + 0.5 WHEN 'entry_short' THEN price - 0.5 END")} AS price1,
+{r("CASE signal WHEN 'entry_long' THEN price / 15 - 0.1 WHEN 'entry_short' THEN price / 15 + 0.1 END")} AS price2 FROM z JOIN f USING (symbol, k)"""))
 def spread_signals(spark, sf):
     d = R.spread_zscore(V.ticks(spark, sf), "price")
     d = d.withColumns({
         "entry_long": F.lit(-1.0), "entry_short": F.lit(1.5), "exit": F.lit(0.5), "bid1": F.col("price") - 0.5, "ask1": F.col("price") + 0.5,
         "bid2": F.col("price") / 15 - 0.1, "ask2": F.col("price") / 15 + 0.1, "hedge_confidence": 1 / (1 + F.col("price") / 50),
         "vol_regime": F.when(F.col("channel") == "error", "high").when(F.col("channel") == "signup", "low").otherwise("normal")})
-    return shaped(Q.spread_signals(d, TICKS, ["symbol", "seq"]), columns="symbol seq signal side price1 price2 strength confidence")
+    return shaped(Q.spread_signals(d, TICKS, ["symbol", "seq"]), columns="symbol seq signal side price1 price2")
 
 
 @query("st10_rolling_garch")
@@ -147,9 +157,19 @@ def rolling_garch(spark, sf):
     return shaped(d, 4)
 
 
-@query("st11_regime_smoothing")
+SMOOTH = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM regimes),
+f AS (SELECT symbol, 0::BIGINT AS k, 'unknown' AS cur, MAP {}::MAP(VARCHAR, INTEGER) AS cnt, 0.0::DOUBLE AS conf FROM (SELECT DISTINCT symbol FROM n)
+ UNION ALL SELECT symbol, k, CASE WHEN c >= 0.3 AND regime <> cur AND seen >= 2 THEN regime ELSE cur END,
+ CASE WHEN c < 0.3 THEN cnt WHEN regime = cur OR seen >= 2 THEN MAP {}::MAP(VARCHAR, INTEGER) ELSE map_concat(cnt, MAP {regime: seen}) END,
+ CASE WHEN c < 0.3 THEN c * 0.8 WHEN regime <> cur AND seen < 2 THEN c * 0.9 ELSE c END FROM (
+ SELECT n.symbol, n.k, n.regime, n.confidence AS c, p.cur, p.cnt, coalesce(p.cnt[n.regime], 0) + 1 AS seen FROM f p JOIN n ON n.symbol = p.symbol AND n.k = p.k + 1)),
+g AS (SELECT n.symbol, n.seq, f.cur AS smoothed, f.conf, lag(f.cur, 1, 'unknown') OVER (PARTITION BY n.symbol ORDER BY n.k) AS prev FROM n JOIN f USING (symbol, k))"""
+
+
+@query("st11_regime_smoothing", sql("regimes", f"WITH RECURSIVE {SMOOTH} SELECT symbol, seq, smoothed, {r('conf')} AS smoothed_confidence, CASE WHEN prev <> smoothed THEN prev END AS from_regime FROM g"))
 def regime_smoothing(spark, sf):
-    return shaped(Q.regime_smoothing(V.regimes(spark, sf), TICKS, ["symbol", "seq"], persistence=2))
+    d = Q.regime_smoothing(V.regimes(spark, sf), TICKS, ["symbol", "seq"], persistence=2)
+    return shaped(d, columns="symbol seq smoothed smoothed_confidence from_regime")
 
 
 LEARN = """p AS (SELECT event_type AS regime, date_trunc('day', ts)::TIMESTAMP AS ts, (avg(value) - 45) / stddev_pop(value) * 10 AS sharpe, count(*) FILTER (value > 30) / count(*) AS win_rate, min(value) / 3 AS max_drawdown FROM events GROUP BY 1, 2),
