@@ -92,11 +92,22 @@ def circuit_breaker(spark, sf):
 TRIGGERS = {"view": "entry_signal", "click": "position_entered", "purchase": "exit_signal", "signup": "position_exited", "error": "reset"}
 
 
-@query("st05_trade_lifecycle")
+LIFE = """n AS (SELECT symbol, seq, channel, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks),
+f AS (SELECT symbol, 0::BIGINT AS k, 'SEARCHING' AS mode, NULL::DOUBLE AS since, NULL::DOUBLE AS entered FROM (SELECT DISTINCT symbol FROM n)
+ UNION ALL SELECT symbol, k, m2, CASE WHEN m2 <> m1 THEN t ELSE s1 END, CASE WHEN channel = 'click' AND m1 = 'ENTERING' THEN t ELSE entered END FROM (
+ SELECT *, CASE WHEN channel = 'view' AND m1 = 'SEARCHING' THEN 'ENTERING' WHEN channel = 'click' AND m1 = 'ENTERING' THEN 'IN_POSITION' WHEN channel = 'purchase' AND m1 = 'IN_POSITION' THEN 'EXITING'
+  WHEN channel = 'signup' AND m1 = 'EXITING' THEN 'SEARCHING' WHEN channel = 'error' AND m1 = 'ERROR' THEN 'SEARCHING' ELSE m1 END AS m2 FROM (
+ SELECT *, CASE WHEN m1 <> mode THEN t ELSE since END AS s1 FROM (
+ SELECT n.symbol, n.k, n.channel, n.t, p.mode, p.since, p.entered, CASE WHEN p.mode IN ('ENTERING', 'EXITING') AND n.t - p.since > 86400 THEN 'ERROR' WHEN p.mode = 'IN_POSITION' AND n.t - p.entered > 259200 THEN 'EXITING' ELSE p.mode END AS m1
+ FROM f p JOIN n ON n.symbol = p.symbol AND n.k = p.k + 1))))"""
+
+
+@query("st05_trade_lifecycle", sql("ticks", f"WITH RECURSIVE {LIFE} SELECT symbol, seq, mode AS state FROM n JOIN f USING (symbol, k)"))
 def trade_lifecycle(spark, sf):
     t = F.create_map(*[x for k, v in TRIGGERS.items() for x in (F.lit(k), F.lit(v))])
     d = V.ticks(spark, sf).withColumn("trigger", t[F.col("channel")])
-    return Q.trade_lifecycle(d, TICKS, ["symbol", "seq"], entry_s=86_400.0, exit_s=86_400.0, hold_s=3 * 86_400.0)
+    d = Q.trade_lifecycle(d, TICKS, ["symbol", "seq"], entry_s=86_400.0, exit_s=86_400.0, hold_s=3 * 86_400.0)
+    return d.select("symbol", "seq", "state")
 
 
 @query("st06_average_cost_positions", sql("fills", f"WITH RECURSIVE {POSITIONS_SQL} SELECT symbol, seq, {r('position', 3)} AS position, {rs('realized realized_total unrealized', 2)}, {r('cost', 3)} AS average_cost FROM positions"))
