@@ -23,14 +23,18 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset (single-machine tests) is a folder of our own used.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one on a single machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the folder of ``checkpoint_folder``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
