@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import WORD, text_of, written
 from tidemark.plans.sizing import broadcast_if_small
-from tidemark.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -23,7 +22,7 @@ ROUNDS = 60
 NEAR = 1e-9
 BINS = 4096
 PASSES = 4
-REPAIRS = 6
+REPAIRS = 4
 
 
 def word_count(text: str = "text"):
@@ -33,7 +32,7 @@ def word_count(text: str = "text"):
 
 def numbered(sources: DataFrame, column: str) -> DataFrame:
     """``sources`` (distinct) with ``position`` from 0 by code point, null last: numbers inside ranges plus offsets."""
-    ranged = checkpointed(sources.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    ranged = written(sources.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(F.col(column).asc_nulls_last())))
     # one row for each partition
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
@@ -54,12 +53,12 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, source
     """
     w = F.array(*[F.lit(float(x)) for x in weights])
     state = numbered(sizes.select(source), source).withColumn("weight", F.get(w, (F.col("position") % len(weights)).cast("int")))
-    state = checkpointed(_on_source(sizes, state, source, "inner").select(source, "source_size", "weight", (F.lit(cap) * F.col("source_size")).cast("double").alias("most"), F.lit(False).alias("full")))
+    state = written(_on_source(sizes, state, source, "inner").select(source, "source_size", "weight", (F.lit(cap) * F.col("source_size")).cast("double").alias("most"), F.lit(False).alias("full")))
     while True:
         total, capped, weight = state.agg(F.sum("source_size"), F.sum(F.when(F.col("full"), F.col("most"))), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
         level = (total or 0) - (capped or 0.0)
         share = F.lit(level) * F.col("weight") / F.lit(weight or 1.0)
-        state = checkpointed(state.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(share)))
+        state = written(state.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(share)))
         if not state.where("not full and target > most").take(1):
             return state.select(source, "source_size", F.col("target").cast("double").alias("target"))
         state = state.withColumn("full", F.col("full") | (F.col("target") > F.col("most")))
@@ -78,7 +77,7 @@ def rates(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, source: str
     steep = F.log(F.least(F.greatest(ratio, F.lit(1e-300)), F.lit(float(cap)))) * F.col("mean") / F.col("small")
     state = state.where((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)))
     state = state.select(source, "target", "mean", F.least(steep, F.lit(0.0)).alias("low"), F.greatest(steep, F.lit(0.0)).alias("high"), F.log(ratio).alias("lam"), F.lit(False).alias("done"))
-    state = checkpointed(state)
+    state = written(state)
     for _ in range(ROUNDS):
         z = F.col("size") / F.col("mean")
         r = F.least(F.lit(float(cap)), F.exp(F.col("lam") * z))
@@ -90,7 +89,7 @@ def rates(histogram: DataFrame, wanted: DataFrame, cap: float = CAP, source: str
         newton = F.col("lam") - (F.col("value") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
         inside = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
         met = F.col("done") | (F.abs(F.col("value") - F.col("target")) <= NEAR * F.col("target"))
-        state = checkpointed(joined.select(source, "target", "mean", "low", "high", F.when(F.coalesce(met, F.lit(True)), F.col("lam")).otherwise(inside).alias("lam"), F.coalesce(met, F.lit(True)).alias("done")))
+        state = written(joined.select(source, "target", "mean", "low", "high", F.when(F.coalesce(met, F.lit(True)), F.col("lam")).otherwise(inside).alias("lam"), F.coalesce(met, F.lit(True)).alias("done")))
         if not state.where("not done").take(1):
             break
     return state.select(source, "mean", "lam")
@@ -123,19 +122,23 @@ def _applied(rows: DataFrame, plan: DataFrame, changes: DataFrame | None, cap: i
 
 def _planned(rows: DataFrame, weights: tuple, cap: int) -> tuple[DataFrame, DataFrame | None]:
     """One row per source (target, tilt, shift), and the few documents whose copies are mended."""
-    histogram = checkpointed(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
-    wanted = checkpointed(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap))
+    histogram = written(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
+    wanted = written(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap))
     tilt = rates(histogram, wanted, cap)
-    plan = checkpointed(_on_source(wanted, tilt, "source", "left"))
-    plan = _shifts(_applied(rows, plan, None, cap), plan)
-    return plan, _mended(_applied(rows, plan, None, cap), cap)
+    plan = written(_on_source(wanted, tilt, "source", "left"))
+    rated = written(_applied(rows, plan, None, cap).select("_key", "_source", "_draw", "_size", "_need", "_copies", "target"))
+    plan = _shifts(rated, plan)
+    shift = plan.select(F.col("source").alias("s"), "shift")
+    more = F.coalesce(F.col("_need") < F.col("shift"), F.lit(False)).cast("int")
+    taken = rated.join(broadcast_if_small(shift), F.col("_source").eqNullSafe(F.col("s"))).withColumn("_copies", F.col("_copies") + more)
+    return plan, _mended(taken, cap)
 
 
 def _shifts(rated: DataFrame, plan: DataFrame) -> DataFrame:
     """``plan`` with the shift per source under which the words taken are the most that do not pass the target."""
     base = rated.groupBy("_source").agg(F.sum(F.col("_copies") * F.col("_size")).alias("words"))
     state = plan.join(base, F.col("source").eqNullSafe(F.col("_source"))).select("source", (F.col("target") - F.col("words")).alias("left"), F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
-    state = checkpointed(state)
+    state = written(state)
     needs = rated.where("_need is not null").select("_source", "_size", "_need")
     # each pass narrows the shift to one of BINS parts; four of them tell all draws apart
     for _ in range(PASSES):
@@ -151,14 +154,14 @@ def _shifts(rated: DataFrame, plan: DataFrame) -> DataFrame:
         low = F.when(none, F.col("high")).otherwise(F.col("low") + F.col("at.bin") * width)
         high = F.when(none, F.col("high")).otherwise(F.col("low") + (F.col("at.bin") + 1) * width)
         used = F.when(none, F.coalesce("most", F.lit(0))).otherwise(F.col("at.under"))
-        state = checkpointed(joined.select("source", (F.col("left") - used).alias("left"), low.alias("low"), high.alias("high")))
+        state = written(joined.select("source", (F.col("left") - used).alias("left"), low.alias("low"), high.alias("high")))
     shift = state.select(F.col("source").alias("s"), F.col("low").alias("shift"))
-    return checkpointed(plan.join(shift, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    return written(plan.join(shift, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
 
 
 def _mended(taken: DataFrame, cap: int) -> DataFrame | None:
     """Documents that get one copy more or less, the one each time that brings its source nearest to the target."""
-    state = checkpointed(taken.groupBy("_source").agg((F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).alias("left")))
+    state = written(taken.groupBy("_source").agg((F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).alias("left")))
     taken = taken.where("_size > 0").select("_key", "_source", "_draw", "_size", "_copies")
     changes = None
     for _ in range(REPAIRS):
@@ -171,12 +174,12 @@ def _mended(taken: DataFrame, cap: int) -> DataFrame | None:
         sign = F.signum("left")
         miss = F.abs(F.col("left") - sign * F.col("_size"))
         one = F.min_by(F.struct("_key", "_draw", "_size", sign.cast("int").alias("by"), miss.alias("miss"), F.abs("left").alias("was")), F.struct(miss, F.col("_draw"), F.col("_key")))
-        best = checkpointed(rows.groupBy("_source").agg(one.alias("b")).where("b.miss < b.was").select("_source", "b._key", "b._draw", "b._size", "b.by"))
+        best = written(rows.groupBy("_source").agg(one.alias("b")).where("b.miss < b.was").select("_source", "b._key", "b._draw", "b._size", "b.by"))
         if not best.take(1):
             break
-        changes = best if changes is None else checkpointed(changes.unionByName(best))
+        changes = best if changes is None else written(changes.unionByName(best))
         move = best.select(F.col("_source").alias("m"), (F.col("by") * F.col("_size")).alias("move"))
-        state = checkpointed(state.join(move, F.col("_source").eqNullSafe(F.col("m")), "left").select("_source", (F.col("left") - F.coalesce("move", F.lit(0))).alias("left")))
+        state = written(state.join(move, F.col("_source").eqNullSafe(F.col("m")), "left").select("_source", (F.col("left") - F.coalesce("move", F.lit(0))).alias("left")))
     return changes
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, mixing, simhash
+from tidemark.llm import bpe, mixing, quality, secrets, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,11 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken, "rate")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -32,5 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries by name, and their SQL."""
+    import corpus_pipeline
+
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
-    return found, {}
+    return found | {"pipeline": corpus_pipeline.run}, {}
