@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat, mixing, permutation, quality, secrets, simhash, token_counts, topk
+from tidemark.llm import bpe, chat, mixing, permutation, pii, quality, secrets, simhash, token_counts, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHAT_RANKS = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
+def pii_digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    counts = [pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(key, *counts, F.sha2(pii.named("base"), 256).alias("base_sha256"), pii.named("spans").alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(pii.personal(table(spark, sf_dir, "documents")))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken, "rate")
