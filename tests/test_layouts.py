@@ -135,3 +135,17 @@ def test_first_touch_and_interval_extremes(spark, layout, hot):
         assert hit.get(r.seq) == (touch["seq"].iloc[0] if len(touch) else None)
         inside = c[c["ts"] <= r.ts + pd.Timedelta(hours=20)]["price"]
         assert (ext.loc[r.seq, "low"], ext.loc[r.seq, "high"]) == (inside.min(), inside.max())
+
+
+def test_null_keys_stay_in_both_layouts(spark, layout):
+    rows = [(None if k % 4 == 0 else "a", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=k // 2)).to_pydatetime(), k, float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double")
+    placed = with_position(df, S).collect()
+    own = {s: sorted(r.seq for r in placed if r.symbol == s) for s in (None, "a")}
+    assert len(placed) == 200 and all(own[r.symbol].index(r.seq) + 1 == r.pos for r in placed)
+    totals = running(df, S, {"t": ("sum", F.col("price"))}).collect()
+    assert len(totals) == 200 and all(r.t == sum(x for x in own[r.symbol] if x <= r.seq) for r in totals)
+    scanned = affine_scan(df.selectExpr("*", "1D as m", "price as b"), S, "m", "b", "y").collect()
+    assert len(scanned) == 200 and all(abs(r.y - sum(x for x in own[r.symbol] if x <= r.seq)) < 1e-9 for r in scanned)
+    halves = {r.symbol: r.p for r in exact_percentiles(df, ["symbol"], "price", {"p": 0.5}).collect()}
+    assert halves == {s: float(np.median(own[s])) for s in own}

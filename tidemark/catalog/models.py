@@ -104,7 +104,7 @@ def _vectors(spark, sf):
 
 @query("m06_kmeans_best_k")
 def kmeans_best_k(spark, sf):
-    out, k, score = M.kmeans_best_k(_vectors(spark, sf), max_k=5)
+    out, k, score = M.kmeans_best_k(_vectors(spark, sf), max_k=8)
     return out.select("symbol", F.col("label").cast("long").alias("label"), F.lit(k).cast("long").alias("k"), F.round(F.lit(score), 4).alias("silhouette"))
 
 
@@ -125,7 +125,7 @@ def dbscan(spark, sf):
 @query("m09_consensus_clusters")
 def consensus_clusters(spark, sf):
     v = _vectors(spark, sf).withColumn("id", F.substring("symbol", 2, 12).cast("long"))
-    km, _, _ = M.kmeans_best_k(v, max_k=4)
+    km, _, _ = M.kmeans_best_k(v, max_k=8)
     db = M.dbscan(v, ["x", "y"], "id", eps=0.15, least=4)
     bands = v.select("id", F.floor("x").cast("long").alias("band"))
     labels = km.select("id", F.col("label").cast("long").alias("km")).join(db.withColumnRenamed("label", "db"), "id").join(bands, "id")
@@ -141,7 +141,7 @@ def _labels(spark, sf):
     return V.nation_bars(spark, sf).select("symbol", month.alias("window_id"), lab.alias("label"), (F.col("volume") > 1200000).cast("int").alias("other"))
 
 
-ARI = """SELECT {g}, CASE WHEN (ai + bj) / 2 = ai * bj / (n * (n - 1) / 2) THEN 1.0 ELSE (ij - ai * bj / (n * (n - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (n * (n - 1) / 2)) END AS ari FROM
+ARI = """SELECT {g}, CASE WHEN n < 2 THEN 1.0 WHEN (ai + bj) / 2 = ai * bj / (n * (n - 1) / 2) THEN 1.0 ELSE (ij - ai * bj / (n * (n - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (n * (n - 1) / 2)) END AS ari FROM
 (SELECT {g}, sum(n * (n - 1) / 2) AS ij, sum(n) AS n FROM cells GROUP BY {g}) JOIN (SELECT {g}, sum(n * (n - 1) / 2) AS ai FROM (SELECT {g}, l, sum(n) AS n FROM cells GROUP BY {g}, l) GROUP BY {g}) USING ({g})
 JOIN (SELECT {g}, sum(n * (n - 1) / 2) AS bj FROM (SELECT {g}, o, sum(n) AS n FROM cells GROUP BY {g}, o) GROUP BY {g}) USING ({g})"""
 
@@ -176,14 +176,14 @@ def cluster_coherence(spark, sf):
 @query("m12_isolation_scores")
 def isolation_scores(spark, sf):
     d = M.window_features(V.ticks(spark, sf), "price")
-    return shaped(M.isolation_scores(d, ["price", "f_mean", "f_std", "f_min", "f_max"], "seq", trees=50), 4)
+    return shaped(M.isolation_scores(d, ["price", "f_mean", "f_std", "f_min", "f_max"], "seq", trees=100), 4)
 
 
 @query("m12b_multivariate_isolation")
 def multivariate_isolation(spark, sf):
     b = V.bars_1h(spark, sf).withColumn("row_id", F.concat_ws("|", "symbol", F.col("ts").cast("string")))
     d = M.principal_components(b, COLS, 3)
-    return shaped(M.isolation_scores(d, ["pc_1", "pc_2", "pc_3"], "row_id", trees=50), 4)
+    return shaped(M.isolation_scores(d, ["pc_1", "pc_2", "pc_3"], "row_id", trees=100), 4)
 
 
 @query("m13_changepoints", sql("bars", f"""WITH s AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p, count(*) OVER (PARTITION BY symbol) AS n, sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c, sum(close) OVER (PARTITION BY symbol) AS t FROM bars),

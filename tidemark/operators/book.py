@@ -62,9 +62,9 @@ def depth_top_n(levels: DataFrame, keys: Sequence[str], n: int = 5, tie: str = "
     return top_per_key(levels, [*keys, "side"], [_best_first().asc(), F.col(tie).asc()], n, "rank")
 
 
-def assemble_books(levels: DataFrame, keys: Sequence[str], depth: int = 20) -> DataFrame:
-    """Books as rows: bids descending and asks ascending, each cut to ``depth`` levels."""
-    top = depth_top_n(levels, keys, depth)
+def assemble_books(levels: DataFrame, keys: Sequence[str], depth: int | None = 20) -> DataFrame:
+    """Books as rows: bids descending and asks ascending, each cut to ``depth`` levels (None: all)."""
+    top = depth_top_n(levels, keys, depth or 2**31 - 1)
 
     def side(name: str) -> Column:
         ranked = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("rank", "price", "quantity"))))

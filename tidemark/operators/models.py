@@ -34,7 +34,10 @@ def train_signals(df: DataFrame, features: Sequence[str], label: str = "label",
     one binary booster per label seen (at most the five labels)."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     d = checkpointed(assemble.transform(df.withColumn("label_score", label_score(label))).select("features", label, "label_score"))
-    labels = sorted(r[0] for r in d.select(label).distinct().limit(len(LABEL_SCORES)).collect())
+    unknown = d.where(F.col(label).isNull() | ~F.col(label).isin(list(LABEL_SCORES))).select(label).first()
+    if unknown is not None:
+        raise ValueError(f"unknown label {unknown[0]!r}; labels are {sorted(LABEL_SCORES)}")
+    labels = sorted(r[0] for r in d.select(label).distinct().collect())
     if boosted:
         binary = lambda x: d.withColumn("_y", (F.col(label) == x).cast("double"))
         classifiers = [GBTClassifier(labelCol="_y", maxIter=trees, maxDepth=depth, seed=SEED).fit(binary(x)) for x in labels]
@@ -296,9 +299,10 @@ def adjusted_rand(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> D
     names = list(group) or ["_g"]
     for c, name in ((a, "ai"), (b, "bj")):
         d = d.join(side(c, name).select(*keys, name), names)
-    expected = F.col("ai") * F.col("bj") / pairs(F.col("n"))
+    expected = F.col("ai") * F.col("bj") / F.when(F.col("n") > 1, pairs(F.col("n")))
     top = (F.col("ai") + F.col("bj")) / 2
-    score = F.when(top == expected, 1.0).otherwise((F.col("ij") - expected) / F.when(top != expected, top - expected))
+    # one row alone is the same partition under any labels
+    score = F.when((F.col("n") < 2) | (top == expected), 1.0).otherwise((F.col("ij") - expected) / F.when(top != expected, top - expected))
     return d.select(*group, score.alias("ari"))
 
 

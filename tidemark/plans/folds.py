@@ -18,7 +18,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.plans.series import Series, with_blocks
+from tidemark.plans.series import Series, join_on_keys, with_blocks
 from tidemark.plans.sizing import is_small
 from tidemark.session import checkpointed
 
@@ -81,19 +81,19 @@ def _fold_blocks(blocks: DataFrame, s: Series, step: Step, schema: str) -> DataF
     while True:
         starts = links.select(*s.keys, (F.col("_blk") + 1).alias("_blk"), F.col("_end").alias("_start"))
         wrong = (
-            links.select(*cols, "_used").join(starts, cols)
+            join_on_keys(links.select(*cols, "_used"), starts, cols)
             .filter(digest("_used") != digest("_start"))
             .select(*cols, "_start")
         )
         wrong = checkpointed(wrong)
         if wrong.isEmpty():
             break
-        again = run(blocks.join(wrong.select(*cols), cols, "left_semi"), wrong)
-        links = checkpointed(links.join(wrong, cols, "left_anti").unionByName(again))
+        again = run(join_on_keys(blocks, wrong.select(*cols), cols, "left_semi"), wrong)
+        links = checkpointed(join_on_keys(links, wrong, cols, "left_anti").unionByName(again))
 
     def emit(rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         state = pickle.loads(begin["_start"].iloc[0]) if len(begin) else None
         return step(rows.sort_values("_pos", ignore_index=True), state)[0]
 
-    starts = starts.join(links.select(*cols), cols, "left_semi")  # the last block of a key starts nothing
+    starts = join_on_keys(starts, links.select(*cols), cols, "left_semi")  # the last block of a key starts nothing
     return blocks.groupBy(*cols).cogroup(starts.groupBy(*cols)).applyInPandas(emit, schema)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.plans.series import join_on_keys
 from tidemark.plans.sizing import is_small, settled
 
 RANK_ACCURACY = 100_000
@@ -44,7 +45,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         for i, n in enumerate(names)
     ])
     brackets = sketch.select(*keys, wanted.alias("_w"))
-    joined = data.join(brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))
+    joined = join_on_keys(data, brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))
     # Every row falls below, inside or above the bracket of each rank. Inside, rows are counted by value;
     # outside only the count and the value next to the bracket are kept, as the rank can lie one row off.
     marks = joined.select(*keys, "_v", F.explode("_w").alias("_b"))

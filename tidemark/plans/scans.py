@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.plans.series import Series, with_blocks
+from tidemark.plans.series import Series, join_on_keys, with_blocks
 from tidemark.plans.sizing import is_small, settled
 
 
@@ -64,4 +64,4 @@ def affine_scan(df: DataFrame, s: Series, m: str, b: str, out: str, start: float
         pdf[out] = _walk(pdf[m].to_numpy(float), pdf[b].to_numpy(float), pdf["_start"].iloc[0])
         return pdf[[*columns, out]]
 
-    return blocks.join(starts, cols).groupBy(*cols).applyInPandas(replay, ddl)
+    return join_on_keys(blocks, starts, cols).groupBy(*cols).applyInPandas(replay, ddl)

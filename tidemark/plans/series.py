@@ -13,7 +13,7 @@ Keys must not be null (``finite_positive`` drops such rows first); null times so
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -77,6 +77,13 @@ def _cell_width(df: DataFrame, s: Series) -> int:
     return width
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key equals a null key, as grouping has it; ``right`` adds its other columns."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _with_cells(df: DataFrame, s: Series) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_cell", _cell(s, _cell_width(df, s))), [*s.keys, "_cell"]
 
@@ -92,7 +99,7 @@ def with_position(df: DataFrame, s: Series, name: str = "pos") -> DataFrame:
     carry = Window.partitionBy(*s.keys).orderBy("_cell")
     offsets = counts.select(*cols, (F.sum("_n").over(so_far(carry)) - F.col("_n")).alias("_off"))
     return (
-        local.join(offsets, cols)
+        join_on_keys(local, offsets, cols)
         .withColumn(name, F.col("_off") + F.col("_rn"))
         .drop("_cell", "_rn", "_off")
     )
@@ -170,7 +177,7 @@ def running(df: DataFrame, s: Series, specs: Mapping[str, tuple[str, Column]]) -
             return F.coalesce(here, before)
         return (F.greatest if kind == "max" else F.least)(here, before)
 
-    out = local.join(carried, cols).withColumns({n: combine(n, k) for n, (k, _) in specs.items()})
+    out = join_on_keys(local, carried, cols).withColumns({n: combine(n, k) for n, (k, _) in specs.items()})
     return out.drop("_cell", *drop, *[f"_l_{n}" for n in specs], *[f"_c_{n}" for n in specs])
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import checkpoint_folder
+
 BOOK_CSV = "timestamp timestamp, bids string, asks string, sequence_id bigint"
 TRADE_CSV = "timestamp timestamp, price double, quantity double, side string, trade_id bigint"
 RECORDING = (
@@ -18,8 +19,7 @@ LEVELS = "array<array<double>>"
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster (a temporary one in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def file_symbol(suffix: str) -> Column:

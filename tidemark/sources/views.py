@@ -97,7 +97,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books with sorted level arrays (bids descending, asks ascending)."""
     from tidemark.operators.book import assemble_books
 
-    return assemble_books(levels(spark, sf_dir), ["book_id"])
+    return assemble_books(levels(spark, sf_dir), ["book_id"], None)
 
 
 def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
