@@ -54,9 +54,8 @@ def cv_embargo_filter(spark, sf):
 
 
 SELECTED = f"""e AS (SELECT split_id, candidate AS i, epoch_us(start) AS s, epoch_us("end") AS e, span FROM valid),
-sets AS (SELECT split_id, span, [i] AS path, e - s AS length, 0::BIGINT AS gap FROM e
- UNION ALL SELECT a.split_id, a.span, [a.i, b.i], a.e - a.s + b.e - b.s, greatest(b.s - a.e, 0) FROM e a JOIN e b ON a.split_id = b.split_id AND b.i > a.i
- UNION ALL SELECT a.split_id, a.span, [a.i, b.i, c.i], a.e - a.s + b.e - b.s + c.e - c.s, greatest(b.s - a.e, 0) + greatest(c.s - b.e, 0) FROM e a JOIN e b ON a.split_id = b.split_id AND b.i > a.i JOIN e c ON c.split_id = a.split_id AND c.i > b.i),
+sets AS (SELECT split_id, span, [i] AS path, i AS last, e AS last_end, e - s AS length, 0::BIGINT AS gap FROM e
+ UNION ALL SELECT a.split_id, a.span, list_append(a.path, b.i), b.i, b.e, a.length + b.e - b.s, a.gap + greatest(b.s - a.last_end, 0) FROM sets a JOIN e b ON a.split_id = b.split_id AND b.i > a.last WHERE len(a.path) < 8),
 scored AS (SELECT *, round(0.7 * (1 - abs(length - span * 0.6) / (span * 0.6)) + 0.3 * (1 / (1 + gap / length)), 9) AS score FROM sets),
 best AS (SELECT split_id, score, path, row_number() OVER (PARTITION BY split_id ORDER BY score DESC, len(path), path) AS k FROM scored),
 chosen AS (SELECT split_id, score, unnest(path) AS candidate FROM best WHERE k = 1),
@@ -65,15 +64,15 @@ CV = f"{BOUNDS}, {TESTS}, {CANDS}, {VALID}, {SELECTED}"
 
 
 def _train(spark, sf):
-    return checkpointed(W.select_periods(_valid(spark, sf), max_periods=3))  # a few rows per split
+    return checkpointed(W.select_periods(_valid(spark, sf), max_periods=8))  # a few rows per split
 
 
-@query("v04_cv_select_periods", sql("equity", f'WITH {CV} SELECT split_id, candidate, start, "end", {r("score")} AS score FROM train'))
+@query("v04_cv_select_periods", sql("equity", f'WITH RECURSIVE {CV} SELECT split_id, candidate, start, "end", {r("score")} AS score FROM train'))
 def cv_select_periods(spark, sf):
     return shaped(_train(spark, sf))
 
 
-@query("v04b_cv_select_eight")
+@query("v04b_cv_select_eight", sql("equity", f'WITH RECURSIVE {CV} SELECT split_id, candidate, start, "end", {r("score")} AS score FROM train'))
 def cv_select_eight(spark, sf):
     return shaped(W.select_periods(_valid(spark, sf)))
 
@@ -90,7 +89,7 @@ def _purged(spark, sf):
     return W.purge_periods(_train(spark, sf), _tests(spark, sf))
 
 
-@query("v05_cv_purge", sql("equity", f'WITH {CV}, {PURGED} SELECT split_id, start, "end" FROM purged'))
+@query("v05_cv_purge", sql("equity", f'WITH RECURSIVE {CV}, {PURGED} SELECT split_id, start, "end" FROM purged'))
 def cv_purge(spark, sf):
     return shaped(_purged(spark, sf))
 
@@ -110,13 +109,13 @@ def _flags(spark, sf):
     return W.flag_rows(V.equity(spark, sf), _intervals(spark, sf))
 
 
-@query("v06_cv_validate", sql("equity", f"""WITH {CV}, {PURGED}, {FLAGS} SELECT split_id, count(*) FILTER (is_train) AS train_size, count(*) FILTER (is_test) AS test_size, count(*) FILTER (is_purged) AS purged_size,
+@query("v06_cv_validate", sql("equity", f"""WITH RECURSIVE {CV}, {PURGED}, {FLAGS} SELECT split_id, count(*) FILTER (is_train) AS train_size, count(*) FILTER (is_test) AS test_size, count(*) FILTER (is_purged) AS purged_size,
 bool_or(is_train AND is_test) AS train_test_overlap, bool_or(is_train AND is_purged) AS train_purged_overlap, bool_or(raw_train AND is_test) AS leakage, NOT bool_or(is_train AND (is_test OR is_purged)) AS valid FROM f2 GROUP BY 1"""))
 def cv_validate(spark, sf):
     return W.validate_splits(_flags(spark, sf))
 
 
-@query("a31_cv_coverage", sql("equity", f"""WITH {CV}, {PURGED}, {FLAGS}, p AS (SELECT strategy, ts, bool_or(is_train) AS tr, bool_or(is_test) AS te FROM f2 GROUP BY 1, 2)
+@query("a31_cv_coverage", sql("equity", f"""WITH RECURSIVE {CV}, {PURGED}, {FLAGS}, p AS (SELECT strategy, ts, bool_or(is_train) AS tr, bool_or(is_test) AS te FROM f2 GROUP BY 1, 2)
 SELECT {r('100.0 * count(*) FILTER (tr) / count(*)')} AS train, {r('100.0 * count(*) FILTER (te) / count(*)')} AS test, {r('100.0 * count(*) FILTER (tr OR te) / count(*)')} AS either, {r('100.0 * count(*) FILTER (tr AND te) / count(*)')} AS both FROM p"""))
 def cv_coverage(spark, sf):
     d = _flags(spark, sf).withColumn("row_id", F.struct("strategy", "ts"))
