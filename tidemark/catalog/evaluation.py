@@ -152,15 +152,33 @@ def jobson_korkie(spark, sf):
     return shaped(C.jobson_korkie(_moments(spark, sf)), columns="strategy n sharpe1 sharpe2 jk_z jk_p jk_promote")
 
 
-@query("t02_welch_ttest", sql("equity", f"""WITH {MOMENTS}, v AS (SELECT *, s1 ** 2 / (n - 1) AS v1, s2 ** 2 / (n - 1) AS v2 FROM m)
-SELECT strategy, {r('(m2 - m1) / sqrt(v1 + v2)')} AS welch_t, {r('(v1 + v2) ** 2 * (n - 1) / (v1 ** 2 + v2 ** 2)', 4)} AS welch_df, {r('(m2 - m1) / sqrt((s1 ** 2 + s2 ** 2) / 2)')} AS cohens_d FROM v"""))
+def sql_tail(theta: str, df: str) -> str:
+    """Two-sided tail of a t law with ``df`` degrees at t = sqrt(df) tan(theta), by Simpson's rule over the angle."""
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * cos({theta} * i / 2000) ** ({df} - 1))) * {theta} / 6000"
+    return f"(1 - {area} / (sqrt(pi()) / 2 * exp(lgamma({df} / 2) - lgamma(({df} + 1) / 2))))"
+
+
+WELCH = f"""w0 AS (SELECT *, s1 ** 2 / (n - 1) AS v1, s2 ** 2 / (n - 1) AS v2, (m2 - m1) / sqrt((s1 ** 2 + s2 ** 2) / 2) AS cohens_d FROM m),
+w1 AS (SELECT *, (m2 - m1) / sqrt(v1 + v2) AS welch_t, (v1 + v2) ** 2 * (n - 1) / (v1 ** 2 + v2 ** 2) AS welch_df FROM w0),
+w2 AS (SELECT *, atan(abs(welch_t) / sqrt(welch_df)) AS th FROM w1),
+welch AS (SELECT *, {sql_tail('th', 'welch_df')} AS welch_p FROM w2)"""
+WELCH_OK = "m2 > m1 AND welch_p < 0.05 AND cohens_d > 0.2"
+
+
+@query("t02_welch_ttest", sql("equity", f"WITH {MOMENTS}, {WELCH} SELECT strategy, {rs('welch_t cohens_d')}, {r('welch_df', 4)} AS welch_df, {r('welch_p', 5)} AS welch_p, {WELCH_OK} AS welch_promote FROM welch"))
 def welch_ttest(spark, sf):
-    return shaped(C.welch_ttest(_moments(spark, sf)), columns="strategy welch_t welch_df cohens_d", per={"welch_df": 4})
+    return shaped(C.welch_ttest(_moments(spark, sf)), columns="strategy welch_t welch_df cohens_d welch_p welch_promote", per={"welch_df": 4, "welch_p": 5})
 
 
-@query("t03_variance_f_test", sql("equity", f"WITH {MOMENTS} SELECT strategy, {r('(s1 / s2) ** 2', 5)} AS f_stat, {r('(s1 - s2) / s1', 5)} AS stability_gain FROM m"))
+# with equal degrees, the F law is that of a t angle
+STEADY = f"""s0 AS (SELECT *, (s1 / s2) ** 2 AS f_stat, (s1 - s2) / s1 AS stability_gain, (n - 1)::DOUBLE AS d FROM m), s3 AS (SELECT *, abs(2 * atan(sqrt(f_stat)) - pi() / 2) AS th FROM s0),
+steady AS (SELECT *, {sql_tail('th', 'd')} AS f_p FROM s3)"""
+STEADY_OK = "s2 < s1 AND f_p < 0.05 AND stability_gain > 0.05"
+
+
+@query("t03_variance_f_test", sql("equity", f"WITH {MOMENTS}, {STEADY} SELECT strategy, {rs('f_stat stability_gain f_p', 5)}, {STEADY_OK} AS f_promote FROM steady"))
 def variance_f_test(spark, sf):
-    return shaped(C.variance_f_test(_moments(spark, sf)), 5, "strategy f_stat stability_gain")
+    return shaped(C.variance_f_test(_moments(spark, sf)), 5, "strategy f_stat stability_gain f_p f_promote")
 
 
 def _sides(spark, sf):
@@ -179,14 +197,31 @@ def relative_improvement(spark, sf):
     return shaped(C.simple_tests(_sides(spark, sf)), 4, "strategy dd_gain calmar_gain sharpe_gain dd_promote calmar_promote sharpe_promote")
 
 
-@query("t05_promotion_decision", sql("equity", f"""WITH {METRICS_SQL}, {SIDES}, {MOMENTS}, {JK},
+DECIDED = """d AS (SELECT strategy, count(*) AS tests, count(*) FILTER (ok) AS favourable, max(n) AS samples, coalesce(sum(w * conf) FILTER (ok) / nullif(sum(w) FILTER (ok), 0), 0) AS confidence FROM t GROUP BY 1),
+pz AS (SELECT *, favourable >= greatest(1, tests // 2) AND confidence >= 0.8 AND samples >= 30 AS passes FROM d)"""
+
+
+@query("t05_promotion_decision", sql("equity", f"""WITH {METRICS_SQL}, {SIDES}, {MOMENTS}, {JK}, {WELCH}, {STEADY},
+t AS (SELECT strategy, 'sharpe' AS test, sharpe2 > sharpe1 AND jk_p < 0.05 AS ok, 1 - jk_p AS conf, n, 0.3 AS w FROM jk
+ UNION ALL SELECT strategy, 'returns', {WELCH_OK}, 1 - welch_p, n, 0.3 FROM welch
+ UNION ALL SELECT strategy, 'drawdown', dd2 < dd1 AND (dd1 - dd2) / dd1 > 0.1, least(0.9, (dd1 - dd2) / dd1), 0, 0.2 FROM sides
+ UNION ALL SELECT strategy, 'calmar', calmar2 > calmar1 AND (calmar2 - calmar1) / abs(calmar1) > 0.1, least(0.9, (calmar2 - calmar1) / abs(calmar1)), 0, 0.15 FROM sides
+ UNION ALL SELECT strategy, 'stability', {STEADY_OK}, 1 - f_p, n, 0.3 FROM steady),
+{DECIDED}
+SELECT strategy, tests, favourable, samples, {r('confidence', 5)} AS confidence, passes, passes AND row_number() OVER (PARTITION BY passes ORDER BY strategy) = 1 AS promoted FROM pz"""))
+def promotion_decision(spark, sf):
+    tests = C.promotion_tests(_moments(spark, sf), _sides(spark, sf), "strategy")
+    return shaped(C.promotion_decision(tests, "strategy", F.col("n")), 5)
+
+
+@query("t05b_promotion_three_tests", sql("equity", f"""WITH {METRICS_SQL}, {SIDES}, {MOMENTS}, {JK},
 t AS (SELECT strategy, 'sharpe' AS test, sharpe2 > sharpe1 AND jk_p < 0.5 AS ok, 1 - jk_p AS conf, n, 0.3 AS w FROM jk
  UNION ALL SELECT strategy, 'drawdown', dd2 < dd1 AND (dd1 - dd2) / dd1 > 0.0001, 0.9, 0, 0.2 FROM sides
  UNION ALL SELECT strategy, 'calmar', calmar2 > calmar1 AND (calmar2 - calmar1) / abs(calmar1) > 0.1, least(0.9, (calmar2 - calmar1) / abs(calmar1)), 0, 0.15 FROM sides),
 d AS (SELECT strategy, count(*) AS tests, count(*) FILTER (ok) AS favourable, max(n) AS samples, coalesce(sum(w * conf) FILTER (ok) / nullif(sum(w) FILTER (ok), 0), 0) AS confidence FROM t GROUP BY 1),
 pz AS (SELECT *, favourable >= 1 AND confidence >= 0.8 AND samples >= 30 AS passes FROM d)
 SELECT strategy, tests, favourable, samples, {r('confidence', 5)} AS confidence, passes, passes AND row_number() OVER (PARTITION BY passes ORDER BY strategy) = 1 AS promoted FROM pz"""))
-def promotion_decision(spark, sf):
+def promotion_three_tests(spark, sf):
     jk = C.jobson_korkie(_moments(spark, sf))
     a = jk.select("strategy", F.lit("sharpe").alias("test"), ((F.col("sharpe2") > F.col("sharpe1")) & (F.col("jk_p") < 0.5)).alias("favourable"), (1 - F.col("jk_p")).alias("confidence"), "n")
     s = C.simple_tests(_sides(spark, sf))
@@ -196,10 +231,11 @@ def promotion_decision(spark, sf):
 
 
 @query("t06_split_mean_test", sql("ticks", f"""WITH p AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) <= count(*) OVER (PARTITION BY symbol) // 2 AS f FROM ticks),
-a AS (SELECT symbol, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(price) FILTER (f) AS m1, avg(price) FILTER (NOT f) AS m2, var_samp(price) FILTER (f) AS v1, var_samp(price) FILTER (NOT f) AS v2 FROM p GROUP BY 1)
-SELECT symbol, n1, n2, {r('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2))')} AS t_stat FROM a"""))
+a AS (SELECT symbol, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, avg(price) FILTER (f) AS m1, avg(price) FILTER (NOT f) AS m2, var_samp(price) FILTER (f) AS v1, var_samp(price) FILTER (NOT f) AS v2 FROM p GROUP BY 1),
+b AS (SELECT *, (n1 + n2 - 2)::DOUBLE AS d, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t_stat FROM a), c AS (SELECT *, atan(abs(t_stat) / sqrt(d)) AS th FROM b)
+SELECT symbol, n1, n2, {r('t_stat')} AS t_stat, {r(sql_tail('th', 'd'), 5)} AS p_value FROM c"""))
 def split_mean_test(spark, sf):
-    return shaped(C.split_mean_test(V.ticks(spark, sf), Series(), "price"), columns="symbol n1 n2 t_stat")
+    return shaped(C.split_mean_test(V.ticks(spark, sf), Series(), "price"), columns="symbol n1 n2 t_stat p_value", per={"p_value": 5})
 
 
 @query("st14_strategy_performance", sql("closed_trades", f"""WITH u AS (SELECT pair, exit_time, trade_id, CASE WHEN account % 3 = 0 THEN account END AS total_trades, CASE WHEN account % 2 = 0 THEN account // 2 END AS winning_trades, CASE WHEN pnl > 0 THEN pnl END AS gross_profit, CASE WHEN pnl < 0 THEN pnl END AS gross_loss FROM closed_trades),

@@ -92,6 +92,23 @@ def simple_tests(df: DataFrame) -> DataFrame:
 TEST_WEIGHTS = {"sharpe": 0.3, "returns": 0.3, "drawdown": 0.2, "calmar": 0.15, "stability": 0.3}
 
 
+def promotion_tests(moments: DataFrame, sides: DataFrame, key: str) -> DataFrame:
+    """The five tests of each challenger as rows for ``promotion_decision``: Sharpe ratio, returns, drawdown, Calmar
+    ratio and stability. ``moments`` as of ``paired_moments``, ``sides`` as for ``simple_tests``."""
+    none = F.lit(0).cast("long")
+    paired = variance_f_test(welch_ttest(jobson_korkie(moments)))
+    plain = simple_tests(sides)
+
+    def rows(d: DataFrame, tests: list[tuple[str, str, Column, Column]]) -> DataFrame:
+        each = [F.struct(F.lit(name).alias("test"), F.col(ok).alias("favourable"), conf.alias("confidence"), n.alias("n")) for name, ok, conf, n in tests]
+        return d.select(key, F.explode(F.array(*each)).alias("t")).select(key, "t.*")
+
+    n = F.col("n")
+    a = rows(paired, [("sharpe", "jk_promote", 1 - F.col("jk_p"), n), ("returns", "welch_promote", 1 - F.col("welch_p"), n), ("stability", "f_promote", 1 - F.col("f_p"), n)])
+    b = rows(plain, [(t, f"{c}_promote", F.least(F.lit(0.9), F.col(f"{c}_gain")), none) for t, c in (("drawdown", "dd"), ("calmar", "calmar"))])
+    return a.unionByName(b)
+
+
 def promotion_decision(tests: DataFrame, key: str, samples: Column, least_samples: int = 30, least_confidence: float = 0.8) -> DataFrame:
     """Weigh the favourable tests of each challenger; the first that passes (by key) is promoted.
 
