@@ -176,20 +176,20 @@ h AS (SELECT *, CASE WHEN total < 20 THEN 'insufficient_trades' WHEN avg_win IS
 kelly AS (SELECT *, CASE WHEN reason = 'ok' THEN greatest(0.0, (b * win_rate - (1 - win_rate)) / b) ELSE 0.0 END AS kelly FROM h)"""
 
 
-def _kelly(spark, sf):
+def fraction_of_pairs(spark, sf):
     d = V.closed_trades(spark, sf).withColumn("ret", F.col("pnl") / F.col("notional"))
     return A.kelly_fraction(d, TRADES)
 
 
 @query("a16_kelly_fraction", sql("closed_trades", f"WITH {KELLY} SELECT pair, total, used, reason, {rs('avg_win avg_loss win_rate kelly')} FROM kelly"))
 def kelly_fraction(spark, sf):
-    return shaped(_kelly(spark, sf), columns="pair total used reason avg_win avg_loss win_rate kelly")
+    return shaped(fraction_of_pairs(spark, sf), columns="pair total used reason avg_win avg_loss win_rate kelly")
 
 
 @query("a17_kelly_position_size", sql("closed_trades", f"""WITH {KELLY} SELECT pair, {r('CASE WHEN kelly > 0 THEN least(total * 1000.0 * kelly * 0.25, total * 1000.0 * 0.1) ELSE 0 END', 4)} AS size,
 CASE WHEN kelly <= 0 THEN 'none' WHEN total * 1000.0 * kelly * 0.25 <= total * 1000.0 * 0.1 THEN 'kelly' ELSE 'max_position' END AS limited_by FROM kelly"""))
 def kelly_position_size(spark, sf):
-    d = A.kelly_position_size(_kelly(spark, sf).withColumn("value", F.col("total") * 1000.0), "value")
+    d = A.kelly_position_size(fraction_of_pairs(spark, sf).withColumn("value", F.col("total") * 1000.0), "value")
     return shaped(d, 4, "pair size limited_by")
 
 

@@ -24,15 +24,14 @@ def _run(df: DataFrame, s: Series, keep: list[str], step, schema: str, needs: li
 
 
 def ewm(df: DataFrame, value: str, out: str, span: float | None = None, alpha: float | None = None, adjust: bool = True, s: Series = TICKS) -> DataFrame:
-    """Exponential moving average by span or alpha. ``adjust`` weighs by the finite sum of weights, as a
-    ratio of two linear recursions; without it the first value starts the average. No null values."""
+    """Exponential moving average by span or alpha. ``adjust`` divides a linear recursion by the finite sum of
+    weights, which depends on the position alone; without it the first value starts the average. No null values."""
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    if adjust:
-        d = df.withColumns({"_m": F.lit(1.0 - a), "_x": F.col(value).cast("double"), "_one": F.lit(1.0)})
-        d = affine_scan(d, s, "_m", "_x", "_num")
-        d = affine_scan(d, s, "_m", "_one", "_den")
-        return d.withColumn(out, F.col("_num") / F.col("_den")).drop("_m", "_x", "_one", "_num", "_den")
     d = with_position(df, s, "_p")
+    if adjust:
+        d = affine_scan(d.withColumns({"_m": F.lit(1.0 - a), "_x": F.col(value).cast("double")}), s, "_m", "_x", "_num")
+        weights = (1 - F.pow(F.lit(1.0 - a), F.col("_p"))) / a
+        return d.withColumn(out, F.col("_num") / weights).drop("_m", "_x", "_num", "_p")
     first = F.col("_p") == 1
     d = d.withColumns({"_m": F.when(first, 0.0).otherwise(1.0 - a), "_x": F.when(first, F.col(value)).otherwise(F.col(value) * a).cast("double")})
     return affine_scan(d, s, "_m", "_x", out).drop("_p", "_m", "_x")
@@ -126,4 +125,6 @@ def performance_learning(df: DataFrame, s: Series, keep: list[str]) -> DataFrame
 
 
 def order_risk_gate(df: DataFrame, s: Series, keep: list[str], **params) -> DataFrame:
-    return _run(df, s, keep, S.risk_gate_step(keep, ts=s.order[0], **params), S.GATE_SCHEMA, ["symbol", "quantity", "price"])
+    """Decisions on orders; a column ``kelly``, where there is one, bounds position sizes too."""
+    needs = ["symbol", "quantity", "price", *(["kelly"] if "kelly" in df.columns else [])]
+    return _run(df, s, keep, S.risk_gate_step(keep, ts=s.order[0], **params), S.GATE_SCHEMA, needs)

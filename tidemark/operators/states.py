@@ -360,15 +360,17 @@ GATE_SCHEMA = "result string, approved double, reason string"
 
 
 def risk_gate_step(keep: list[str], capital: float = 100_000.0, position_pct: float = 0.1, concentration: float = 0.2, margin: float = 0.1,
-                   buffer: float = 1000.0, daily_loss: float = 0.05, drawdown: float = 0.15, ts: str = "ts"):
+                   buffer: float = 1000.0, daily_loss: float = 0.05, drawdown: float = 0.15, kelly_share: float = 0.25, ts: str = "ts"):
     """Orders of one account in time order: halts first, then size, concentration and capital. Approved
-    quantities fill at the order price; a daily-loss halt lifts on the next day if the limits allow."""
+    quantities fill at the order price; a daily-loss halt lifts on the next day if the limits allow. A positive
+    ``kelly`` of a row (fraction from enough closed trades) also bounds the position by ``kelly_share`` of it."""
 
     def step(rows: pd.DataFrame, state):
         cash, held, last, peak, day, day_start, halted = state or (capital, (), (), capital, None, capital, None)
         held, last = dict(held), dict(last)
         result = []
-        for t, symbol, q, px in zip(seconds(rows[ts]), rows["symbol"], rows["quantity"].to_numpy(float), rows["price"].to_numpy(float)):
+        kelly = rows["kelly"].to_numpy(float) if "kelly" in rows else np.zeros(len(rows))
+        for t, symbol, q, px, fraction in zip(seconds(rows[ts]), rows["symbol"], rows["quantity"].to_numpy(float), rows["price"].to_numpy(float), kelly):
             if px > 0:
                 last[symbol] = px
             value = cash + sum(n * last[k] for k, n in held.items())
@@ -390,7 +392,7 @@ def risk_gate_step(keep: list[str], capital: float = 100_000.0, position_pct: fl
             elif fall > drawdown:
                 halted, ok, approved, reason = "drawdown", "halted", 0.0, "max_drawdown"
             else:
-                pos, cap = held.get(symbol, 0.0), value * position_pct
+                pos, cap = held.get(symbol, 0.0), value * (min(position_pct, fraction * kelly_share) if fraction > 0 else position_pct)
                 if abs((pos + q) * px) > cap:
                     room = (cap - abs(pos * px)) / px
                     approved = 0.0 if room <= 0 else min(q, room) if q > 0 else max(q, -room)
