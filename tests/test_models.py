@@ -107,7 +107,8 @@ def test_garch_recovers_planted_parameters():
         s2 = 0.05 + 0.1 * e * e + 0.85 * s2
         e = math.sqrt(s2) * rng.normal()
         r.append(e)
-    mu, omega, alpha, beta, ll, nxt = fit_garch(np.array(r))
+    mu, omega, alpha, beta, ll, nxt, rest = fit_garch(np.array(r))
+    assert rest
     assert abs(alpha - 0.1) < 0.04 and abs(beta - 0.85) < 0.07 and 0 < nxt < 20
 
 

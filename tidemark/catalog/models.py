@@ -159,6 +159,14 @@ def temporal_stability(spark, sf):
     return shaped(M.temporal_stability(_labels(spark, sf), "symbol", "window_id", "label"))
 
 
+@query("m10c_consensus_score", sql("nation_bars", f"""WITH lab AS (SELECT (year(ts) * 12 + month(ts))::BIGINT AS w, {LAB} AS a, (volume > 1200000)::INTEGER AS b, symbol[2:]::INTEGER % 4 AS c FROM nation_bars),
+cells AS (SELECT {{'w': w, 'p': p}} AS g, l, o, count(*)::DOUBLE AS n FROM (SELECT w, 1 AS p, a AS l, b AS o FROM lab UNION ALL SELECT w, 2, a, c FROM lab UNION ALL SELECT w, 3, b, c FROM lab) GROUP BY 1, 2, 3),
+a AS ({ARI.format(g='g')}) SELECT g.w AS window_id, {r('avg(ari)')} AS consensus_score FROM a GROUP BY 1"""))
+def consensus_score(spark, sf):
+    d = _labels(spark, sf).withColumn("third", F.substring("symbol", 2, 4).cast("int") % 4)
+    return shaped(M.consensus_score(d, ["label", "other", "third"], ["window_id"]))
+
+
 NATION_LABEL = "lab AS (SELECT DISTINCT symbol, symbol[2:]::INTEGER % 4 AS label FROM nation_bars)"
 
 

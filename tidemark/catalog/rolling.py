@@ -185,7 +185,20 @@ bar_query("w20_trend_quality", R.trend_quality, "trend_strength trend_consistenc
           "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts)::DOUBLE AS i, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS d FROM bars)")
 
 
-@query("w21_support_resistance")
+# local extrema of the last 50 values: runs, tops between lower neighbours, then the higher ones first at least 5 apart
+LEVELS = """w AS (SELECT symbol, ts, close, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 49 PRECEDING) AS x FROM bars),
+u AS (SELECT symbol, ts, g, i, x, g * x[i] AS v FROM w, range(1, 51) a(i), (VALUES (1), (-1)) b(g) WHERE len(x) = 50),
+runs AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY symbol, ts, g ORDER BY i) AS p FROM u) WHERE p IS NULL OR p <> v),
+tops AS (SELECT *, (i - 1 + stop - 1) // 2 + 1 AS pos FROM (SELECT *, lead(v) OVER o AS nv, lead(i) OVER o - 1 AS stop, lag(v) OVER o AS pv FROM runs WINDOW o AS (PARTITION BY symbol, ts, g ORDER BY i)) WHERE pv < v AND nv < v),
+kept AS (SELECT symbol, ts, g, list_transform(list_reduce(list([pos] ORDER BY v DESC, pos DESC), lambda acc, e: CASE WHEN len(list_filter(acc, lambda a: abs(a - e[1]) < 5)) = 0 THEN list_concat(acc, e) ELSE acc END), lambda q: xs[q]) AS l
+ FROM (SELECT *, x AS xs FROM tops) GROUP BY symbol, ts, g, xs),
+lv AS (SELECT symbol, ts, any_value(l) FILTER (g = -1) AS lows, any_value(l) FILTER (g = 1) AS highs FROM kept GROUP BY 1, 2)"""
+
+
+@query("w21_support_resistance", sql("bars", f"""WITH {LEVELS} SELECT w.symbol, w.ts,
+{r("CASE WHEN close > 0 AND lows IS NOT NULL THEN (close - coalesce(list_max(list_filter(lows, lambda q: q <= close)), list_min(lows))) / close ELSE 0 END")} AS support,
+{r("CASE WHEN close > 0 AND highs IS NOT NULL THEN (coalesce(list_min(list_filter(highs, lambda q: q >= close)), list_max(highs)) - close) / close ELSE 0 END")} AS resistance
+FROM w LEFT JOIN lv USING (symbol, ts)"""))
 def support_resistance(spark, sf):
     return shaped(R.support_resistance(V.bars_1h(spark, sf)), columns="symbol ts support resistance")
 

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 
 from tidemark.plans.series import Series, with_blocks
 
-GARCH_SCHEMA = "mu double, omega double, alpha double, beta double, variance double, volatility double, band double, aic double, bic double, n_fit bigint"
+GARCH_SCHEMA = "mu double, omega double, alpha double, beta double, variance double, volatility double, band double, aic double, bic double, n_fit bigint, converged boolean"
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.25, rounds: int = 400, tol: float = 1e-9) -> np.ndarray:
-    """Simplex search for the few parameters of one window."""
+def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.25, rounds: int = 1000, tol: float = 1e-9) -> tuple[np.ndarray, bool]:
+    """Simplex search for the few parameters of one window, and whether it came to rest within ``rounds``."""
     pts = [x0] + [x0 + step * e for e in np.eye(len(x0))]
     pts = sorted(((f(p), p) for p in pts), key=lambda t: t[0])
     for _ in range(rounds):
@@ -41,11 +41,11 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float =
         else:
             pts[-1] = new
         pts.sort(key=lambda t: t[0])
-    return pts[0][1]
+    return pts[0][1], pts[-1][0] - pts[0][0] < tol
 
 
 def fit_garch(returns: np.ndarray) -> tuple[float, ...] | None:
-    """Maximum likelihood of a constant-mean GARCH(1,1): (mu, omega, alpha, beta, loglik, next variance)."""
+    """Maximum likelihood of a constant-mean GARCH(1,1): (mu, omega, alpha, beta, loglik, next variance, converged)."""
     n = len(returns)
     var = float(returns.var())
     if n < 2 or var == 0 or not np.isfinite(var):
@@ -71,10 +71,10 @@ def fit_garch(returns: np.ndarray) -> tuple[float, ...] | None:
             s2 = omega + alpha * e + beta * s2
         return ll, s2
 
-    x = nelder_mead(lambda v: path(v)[0], np.array([float(returns.mean()), math.log(0.05), -2.0, 2.2]))
+    x, rest = nelder_mead(lambda v: path(v)[0], np.array([float(returns.mean()), math.log(0.05), -2.0, 2.2]))
     ll, nxt = path(x)
     mu, omega, alpha, beta = unpack(x)
-    return mu, omega, alpha, beta, -0.5 * (ll + n * math.log(2 * math.pi)), nxt
+    return mu, omega, alpha, beta, -0.5 * (ll + n * math.log(2 * math.pi)), nxt, rest
 
 
 def rolling_garch(df: DataFrame, value: str, s: Series, keep: list[str], window: int = 252, least: int = 50, every: int = 10) -> DataFrame:
@@ -92,7 +92,7 @@ def rolling_garch(df: DataFrame, value: str, s: Series, keep: list[str], window:
         pdf = pdf.sort_values("_pos", ignore_index=True)
         x, pos = pdf[value].to_numpy(float), pdf["_pos"].to_numpy(np.int64)
         own = ~pdf["_halo"].to_numpy(bool)
-        out = np.full((len(pdf), 10), np.nan)
+        out = np.full((len(pdf), 11), np.nan)
         fitted = None
         first_own = int(np.argmax(own))
         for i in range(len(pdf)):
@@ -104,15 +104,16 @@ def rolling_garch(df: DataFrame, value: str, s: Series, keep: list[str], window:
                 ret = ret[np.isfinite(ret)]
                 fit = fit_garch(ret) if len(ret) >= least - 1 else None
                 if fit is not None:
-                    mu, omega, alpha, beta, ll, nxt = fit
+                    mu, omega, alpha, beta, ll, nxt, rest = fit
                     n = len(ret)
-                    fitted = (mu, omega, alpha, beta, nxt, math.sqrt(nxt), 0.0, 8 - 2 * ll, 4 * math.log(n) - 2 * ll, n)
+                    fitted = (mu, omega, alpha, beta, nxt, math.sqrt(nxt), 0.0, 8 - 2 * ll, 4 * math.log(n) - 2 * ll, n, rest)
             if fitted is not None:
                 out[i] = fitted
                 out[i, 6] = 1.96 * math.sqrt(fitted[4] / min(pos[i], window))
         names = [c.split()[0] for c in GARCH_SCHEMA.split(", ")]
         res = pd.concat([pdf[keep], pd.DataFrame(out, columns=names)], axis=1)[own]
         res["n_fit"] = res["n_fit"].astype("Int64")
+        res["converged"] = res["converged"].astype("boolean")
         return res
 
     return blocks.groupBy(*s.keys, "_blk").applyInPandas(run, ddl)

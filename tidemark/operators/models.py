@@ -306,6 +306,16 @@ def adjusted_rand(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> D
     return d.select(*group, score.alias("ari"))
 
 
+def consensus_score(df: DataFrame, methods: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Agreement of several labelings: the mean adjusted Rand index of all pairs of ``methods``, 1 for one method."""
+    chosen = [(a, b) for i, a in enumerate(methods) for b in methods[i + 1 :]]
+    if not chosen:
+        return df.groupBy(*group).agg(F.lit(1.0).alias("consensus_score"))
+    sides = [F.struct(F.lit(k).alias("_pair"), F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")) for k, (a, b) in enumerate(chosen)]
+    both = df.select(*group, F.explode(F.array(*sides)).alias("_s")).select(*group, "_s.*")
+    return adjusted_rand(both, "_a", "_b", [*group, "_pair"]).groupBy(*group).agg(F.avg("ari").alias("consensus_score"))
+
+
 def temporal_stability(labels: DataFrame, key: str, window: str, label: str, back: int = 5) -> DataFrame:
     """Mean adjusted Rand index of each window's labels with those of up to ``back`` windows before."""
     past = labels.select(F.col(window).alias("_past"), key, F.col(label).alias("_pl"))
