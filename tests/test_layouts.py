@@ -149,3 +149,13 @@ def test_null_keys_stay_in_both_layouts(spark, layout):
     assert len(scanned) == 200 and all(abs(r.y - sum(x for x in own[r.symbol] if x <= r.seq)) < 1e-9 for r in scanned)
     halves = {r.symbol: r.p for r in exact_percentiles(df, ["symbol"], "price", {"p": 0.5}).collect()}
     assert halves == {s: float(np.median(own[s])) for s in own}
+
+
+def test_equal_times_are_split(spark, layout):
+    from tidemark.plans.series import _with_cells
+
+    df = spark.range(500).selectExpr("'HOT' as symbol", "timestamp'2024-01-01' as ts", "id as seq", "cast(id as double) as price")
+    got = with_position(df, S).collect()
+    assert sorted((r.seq, r.pos) for r in got) == [(k, k + 1) for k in range(500)]
+    cells, columns = _with_cells(df, S)
+    assert cells.groupBy(*columns).count().agg(F.max("count")).first()[0] < 200

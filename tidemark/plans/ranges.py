@@ -1,8 +1,9 @@
 """Searches and extremes over ranges of a long series, without joining every row pair.
 
 A series is cut into blocks of consecutive rows. A query first looks inside the block it starts in, then
-in a small array of block extremes for the next block that can answer, then inside that block. The work
-per query is logarithmic in the block and one pass over the block extremes.
+among the extremes of its key's blocks for the next block that can answer, then inside that block. Chunks of
+queries meet blocks and extremes in groups; chunks are cut anew for the block they go to, so the rows shipped
+grow with queries plus series. The work per query is logarithmic in the block and in the number of blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.plans.series import DEFAULT_BLOCK_ROWS, Series, asof, with_blocks, with_position
+from tidemark.plans.series import DEFAULT_BLOCK_ROWS, Series, asof, join_on_keys, with_blocks, with_position
 from tidemark.plans.sizing import is_small
 
 
@@ -73,7 +74,7 @@ def range_extremes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[
 def _meet(queries: DataFrame, blocks: DataFrame, cols: Sequence[str], fn, ddl: str) -> DataFrame:
     """Bring query chunks and series blocks together: groups of at most one block of each."""
     chunks = queries.select(*[F.col(c).alias(c) for c in (*cols, "_chunk")]).distinct()
-    series = blocks.join(chunks, list(cols))
+    series = join_on_keys(blocks, chunks, list(cols))
     series = series.select(*[F.col(c).alias(c) for c in series.columns])  # fresh column ids for the cogroup
     both = [*cols, "_chunk"]
     return queries.groupBy(*both).cogroup(series.groupBy(*both)).applyInPandas(fn, ddl)
@@ -87,9 +88,10 @@ def _per_key(queries: DataFrame, series: DataFrame, keys: Sequence[str], fn, add
     return queries.groupBy(*keys).cogroup(series.groupBy(*keys)).applyInPandas(fn, ddl)
 
 
-def _chunked(queries: DataFrame, s: Series, qid: str, ts: str) -> DataFrame:
+def _chunked(queries: DataFrame, s: Series) -> DataFrame:
+    """``_chunk``: numbers of consecutive queries of a key, of at most a block's rows each."""
     rows = int(queries.sparkSession.conf.get("tidemark.block.rows", str(DEFAULT_BLOCK_ROWS)))
-    placed = with_position(queries, Series(s.keys, (ts, qid)), "_qpos")
+    placed = with_position(queries, s, "_qpos")
     return placed.withColumn("_chunk", F.expr(f"(_qpos - 1) div {rows}")).drop("_qpos")
 
 
@@ -119,7 +121,7 @@ def first_touch(
     ).filter("_p0 is not null")
     rows = int(queries.sparkSession.conf.get("tidemark.block.rows", str(DEFAULT_BLOCK_ROWS)))
     starts = starts.withColumn("_blk", F.expr(f"(_p0 - 1) div {rows}"))
-    starts = _chunked(starts, s, "_qid", s.order[0]).select(*keys, "_blk", "_chunk", "_qid", "_lim", "_p0")
+    starts = _chunked(starts, Series(s.keys, (s.order[0], "_qid"))).select(*keys, "_blk", "_chunk", "_qid", "_lim", "_p0")
     kinds = {f.name: f.dataType.simpleString() for f in starts.schema}
     cols = [*keys, "_blk"]
     names = [*keys, "_blk", "_chunk", "_qid", "_lim", "hit_pos"]
@@ -139,14 +141,21 @@ def first_touch(
 
     own = _meet(starts, blocks, cols, search, ddl)
     done = own.filter("hit_pos > 0").select(*keys, "_qid", "hit_pos")
-    extremes = blocks.groupBy(*cols).agg(F.min("_v").alias("m")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_blk").alias("b"), "m"))).alias("_ext")
-    )
-    later = own.filter("hit_pos = 0").join(extremes, keys)
-    blk, lim = F.col("_blk"), F.col("_lim")
-    target = F.try_element_at(F.filter("_ext", lambda e: (e["b"] > blk) & (e["m"] <= lim)), F.lit(1))
-    later = later.withColumn("_blk", target["b"]).filter("_blk is not null").withColumn("_p0", F.lit(0).cast("long"))
-    there = _meet(later.select(*keys, "_blk", "_chunk", "_qid", "_lim", "_p0"), blocks, cols, search, ddl)
+    extremes = blocks.groupBy(*cols).agg(F.min("_v").alias("_m"))
+
+    def onward(q: pd.DataFrame, ext: pd.DataFrame) -> pd.DataFrame:
+        ext = ext.sort_values("_blk")
+        ids = ext["_blk"].to_numpy(np.int64)
+        at = np.searchsorted(ids, q["_blk"].to_numpy(np.int64), side="right")
+        hit = first_at_or_below(ext["_m"].to_numpy(float), at, q["_lim"].to_numpy(float))
+        q = q[hit >= 0].copy()
+        q["_blk"], q["_p0"] = ids[hit[hit >= 0]], 0
+        return q[[*cols, "_qid", "_lim", "_p0"]]
+
+    later = own.filter("hit_pos = 0").select(*cols, "_chunk", "_qid", "_lim")
+    later = _meet(later, extremes, keys, onward, ", ".join(f"`{n}` {kinds[n]}" for n in [*cols, "_qid", "_lim", "_p0"]))
+    later = _chunked(later, Series((*keys, "_blk"), ("_qid",)))
+    there = _meet(later.select(*cols, "_chunk", "_qid", "_lim", "_p0"), blocks, cols, search, ddl)
     return done.unionByName(there.filter("hit_pos > 0").select(*keys, "_qid", "hit_pos")).withColumnRenamed("_qid", qid)
 
 
@@ -175,9 +184,9 @@ def interval_extremes(queries: DataFrame, series: DataFrame, s: Series, qid: str
     q = asof(q, placed, tuple(keys), {"_pos": "_p1"}, ts, tie, right_ts="_t1").filter("_p0 <= _p1").drop("_t1")
     rows = int(queries.sparkSession.conf.get("tidemark.block.rows", str(DEFAULT_BLOCK_ROWS)))
     q = q.withColumns({"_b0": F.expr(f"(_p0 - 1) div {rows}"), "_b1": F.expr(f"(_p1 - 1) div {rows}")})
-    q = _chunked(q, s, "_qid", ts)
     blocks = with_blocks(data, s).select(*keys, "_blk", "_pos", "_v")
-    pieces = q.select(*keys, "_chunk", "_qid", F.explode(F.array_distinct(F.array("_b0", "_b1"))).alias("_blk"), "_p0", "_p1")
+    pieces = q.select(*keys, "_qid", F.explode(F.array_distinct(F.array("_b0", "_b1"))).alias("_blk"), "_p0", "_p1")
+    pieces = _chunked(pieces, Series((*keys, "_blk"), ("_qid",)))
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
     ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`_qid` {kinds['_qid']}", "low double", "high double"])
 
@@ -191,11 +200,18 @@ def interval_extremes(queries: DataFrame, series: DataFrame, s: Series, qid: str
         return out
 
     ends = _meet(pieces, blocks, [*keys, "_blk"], inside, ddl)
-    extremes = blocks.groupBy(*keys, "_blk").agg(F.min("_v").alias("mn"), F.max("_v").alias("mx")).groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col("_blk").alias("b"), "mn", "mx")).alias("_ext")
-    )
-    b0, b1 = F.col("_b0"), F.col("_b1")
-    mid = q.filter("_b1 > _b0 + 1").join(extremes, keys).withColumn("_mid", F.filter("_ext", lambda e: (e["b"] > b0) & (e["b"] < b1)))
-    middle = mid.select(*keys, "_qid", F.array_min(F.transform("_mid", lambda e: e["mn"])).alias("low"), F.array_max(F.transform("_mid", lambda e: e["mx"])).alias("high"))
+    extremes = blocks.groupBy(*keys, "_blk").agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+
+    def between(part: pd.DataFrame, ext: pd.DataFrame) -> pd.DataFrame:
+        ext = ext.sort_values("_blk")  # the blocks of a key are numbered without gaps
+        first = int(ext["_blk"].iloc[0])
+        lo, hi = part["_b0"].to_numpy(np.int64) + 1 - first, part["_b1"].to_numpy(np.int64) - 1 - first
+        out = part[[*keys, "_qid"]].copy()
+        out["low"] = range_extremes(ext["_mn"].to_numpy(float), lo, hi)[0]
+        out["high"] = range_extremes(ext["_mx"].to_numpy(float), lo, hi)[1]
+        return out
+
+    wide = _chunked(q.filter("_b1 > _b0 + 1").select(*keys, "_qid", "_b0", "_b1"), Series(s.keys, ("_qid",)))
+    middle = _meet(wide, extremes, keys, between, ddl)
     out = ends.unionByName(middle).groupBy(*keys, "_qid").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return out.withColumnRenamed("_qid", qid)

@@ -6,9 +6,9 @@ Three primitives, all exact:
 * ``over_rows``      finite row frames: fixed-size blocks of positions with a halo of neighbours
 * ``running``        unbounded running sum/max/min/count/last: local scan plus carried cell totals
 
-A *cell* is a (key, time slice). Cells are narrowed until none exceeds a row target, so a hot key is
-spread over many tasks and only one summary row per cell meets in the per-key carry.
-Keys must not be null (``finite_positive`` drops such rows first); null times sort first.
+A *cell* is the part of a key in one of many ranges of the whole order (keys, time, sequence). Ranges hold about as
+many rows each, whatever the skew and however many times tie, so a hot key is spread over many tasks and only one
+summary row per cell meets in the per-key carry. Null keys form a key of their own; null times sort first.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemark.plans.sizing import is_small, settled
+from tidemark.session import checkpointed
 
 DAY_US = 86_400_000_000
 DEFAULT_CELL_ROWS = 2_000_000
@@ -85,14 +86,16 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 
 def _with_cells(df: DataFrame, s: Series) -> tuple[DataFrame, list[str]]:
-    return df.withColumn("_cell", _cell(s, _cell_width(df, s))), [*s.keys, "_cell"]
+    """Rows with the range they fall in as ``_cell``, in order along each key; written once, as ranges are sampled."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *s.keys, *s.order).withColumn("_cell", F.spark_partition_id())
+    return checkpointed(ranged), [*s.keys, "_cell"]
 
 
 def with_position(df: DataFrame, s: Series, name: str = "pos") -> DataFrame:
     """1-based dense position of each row within its key."""
     if s.bounded or is_small(df):
         return df.withColumn(name, F.row_number().over(s.window()).cast("long"))
-    df = settled(df)
     cells, cols = _with_cells(df, s)
     local = cells.withColumn("_rn", F.row_number().over(Window.partitionBy(*cols).orderBy(*s.order)))
     counts = cells.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -152,7 +155,7 @@ def running(df: DataFrame, s: Series, specs: Mapping[str, tuple[str, Column]]) -
         w = so_far(s.window())
         return values.withColumns({n: plain[k](F.col(f"_v_{n}")).over(w) for n, (k, _) in specs.items()}).drop(*drop)
 
-    cells, cols = _with_cells(settled(values), s)
+    cells, cols = _with_cells(values, s)
     w = so_far(Window.partitionBy(*cols).orderBy(*s.order))
     local = cells.withColumns({f"_l_{n}": plain[k](F.col(f"_v_{n}")).over(w) for n, (k, _) in specs.items()})
 
@@ -221,12 +224,13 @@ def over_time(
     df: DataFrame, s: Series, reach_s: float, build: Callable[[DataFrame, WindowSpec], DataFrame]
 ) -> DataFrame:
     """Run ``build(df, window)`` where every frame looks back at most ``reach_s`` seconds. The window is
-    ordered by ``_t`` (epoch seconds), for range frames. Cells get copies of the rows just before them."""
+    ordered by ``_t`` (epoch seconds), for range frames. Time slices get copies of the rows just before them and are
+    no narrower than the reach, so a row is copied once at most."""
     timed = df.withColumn("_t", F.unix_micros(F.col(s.order[0]).cast("timestamp")) / F.lit(1e6))
     if s.bounded or is_small(df):
         return build(timed, Window.partitionBy(*s.keys).orderBy("_t")).drop("_t")
     timed = settled(timed)
-    width = _cell_width(timed, s)
+    width = max(_cell_width(timed, s), int(reach_s * 1e6))
     own = _cell(s, width)
     last = F.floor((F.unix_micros(F.col(s.order[0]).cast("timestamp")) + F.lit(int(reach_s * 1e6))) / F.lit(width)).cast("long")
     cells = timed.withColumn("_own", own).withColumn("_cell", F.explode(F.sequence(F.col("_own"), F.coalesce(last, F.col("_own")))))
