@@ -59,6 +59,26 @@ def test_permutation_index_recall(spark, block):
     assert hit >= 0.9 * total
 
 
+@pytest.mark.parametrize("block", [8192, 600])
+def test_recall_with_a_third_equal(spark, block):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(6000, 64)) * draw.uniform(0.5, 1.5, (6000, 1))
+    same = draw.permutation(6000)[:2000]
+    x[same] = x[same[0]]
+    x[same, 0] = 0.0
+    x[same[::2], 0] = -0.0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in permutation.nearest(frame, every=100, block=block).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = {True: [], False: []}
+    for q in range(0, 6000, 100):
+        # scores of one vector differ in no bit here, so ties go by id
+        scores = np.array([float(np.dot(v, x[q])) for v in x])
+        hit[q in same].append(len(found[q] & {i for i, _ in ranked(np.arange(6000), scores, q, 20)}) / 20)
+    assert hit[True] and np.mean(hit[True]) >= 0.99 and np.mean(hit[False]) >= 0.9, {k: np.mean(v) for k, v in hit.items()}
+
+
 def test_query_recall(spark, sf):
     ids, x = vectors_of(spark, sf)
     found = {}
