@@ -62,6 +62,30 @@ def test_random_texts_and_odd_rows(spark):
     assert pii.personal(docs.limit(0)).count() == 0
 
 
+def test_spans_stay_with_their_documents_when_a_later_scan_is_cut_anew(spark, tmp_path):
+    texts = {k: "x" * (k % 7) + f" a{k}@b.cd" for k in range(400)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    from tidemark.llm.queries import pii_digests
+
+    cut = {"spark.sql.files.openCostInBytes": ("64m", "0"), "spark.sql.files.minPartitionNum": ("8", "1")}
+    before = {name: spark.conf.get(name, None) for name in cut}
+    try:
+        for name, (first, _) in cut.items():
+            spark.conf.set(name, first)
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        assert docs.rdd.getNumPartitions() > 1
+        out = pii_digests(pii.personal(docs))
+        for name, (_, second) in cut.items():
+            spark.conf.set(name, second)
+        assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() == 1
+        rows = out.collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert len(rows) == len(texts)
+    check(rows, texts)
+
+
 def test_looser_spans_are_learnt(spark):
     rows = [(k, f"call +1 ({100 + k}) 555-{1000 + k}, order {k:03d}.{k}.999.{300 + k} ref {4000 + k} {5000 + k} {6000 + k} {7000 + k} end") for k in range(300)]
     rows += [(1000, "call (212) 555-1234, thanks")]

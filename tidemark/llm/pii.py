@@ -52,17 +52,23 @@ def _found(text: str, expression: str, holds: str | None) -> Column:
     return F.when(can, F.regexp_extract_all(t, F.lit(expression), F.lit(0)))
 
 
-def matches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every match of every generator: ``row``, ``gen`` (its number), ``start``, ``end``, ``value``, ``before``, ``after``."""
-    texts = docs.select("row", text_of(text).alias("t")).where(F.col("t").rlike("[0-9@]|[(\\[{] ?at ?[)\\]}]"))
-    all_of = texts.select("row", "t", *[_found("t", e, holds).alias(f"m{g}") for g, (_, _, e, holds) in enumerate(GENERATORS)])
+def proposed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row of ``docs``: ``row``, ``key`` and ``x``, the matches of each generator that has any (empty if none)."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_of(text).alias("t"))
+    texts = texts.withColumn("t", F.when(F.col("t").rlike("[0-9@]|[(\\[{] ?at ?[)\\]}]"), F.col("t")))
+    all_of = texts.select("row", "key", "t", *[_found("t", e, holds).alias(f"m{g}") for g, (_, _, e, holds) in enumerate(GENERATORS)])
     per = []
     for g, (_, _, expression, _) in enumerate(GENERATORS):
         gaps = f"split(t, r'{expression}', -1)"
         item = f"transform(m{g}, (v, i) -> named_struct('n', i, 'value', v, 'gap', length(g[i]), 'before', right(g[i], {BESIDE}), 'after', left(g[i + 1], 4)))"
         zipped = F.expr(f"flatten(transform(array({gaps}), g -> {item}))")
         per.append(F.when(F.size(f"m{g}") > 0, F.struct(F.lit(g).alias("gen"), zipped.alias("items"))))
-    listed = all_of.select("row", F.explode(F.array_compact(F.array(*per))).alias("x")).select("row", "x.gen", F.explode("x.items").alias("i")).select("row", "gen", "i.*")
+    return all_of.select("row", "key", F.array_compact(F.array(*per)).alias("x"))
+
+
+def matches(listed: DataFrame) -> DataFrame:
+    """Every match of every generator: ``row``, ``gen`` (its number), ``start``, ``end``, ``value``, ``before``, ``after``."""
+    listed = listed.select("row", F.explode("x").alias("x")).select("row", "x.gen", F.explode("x.items").alias("i")).select("row", "gen", "i.*")
     order = Window.partitionBy("row", "gen").orderBy("n")
     end = F.sum(F.col("gap") + F.length("value")).over(order)
     placed = listed.withColumn("end", end.cast("int"))
@@ -141,8 +147,9 @@ def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", precision
     Null text is empty and has none; null keys, repeated and empty rows keep theirs; an empty table gives no rows;
     other columns are not read. Without certain examples of both labels nothing is added to the base matches.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    found = written(labelled(described(checked(matches(rows, "key", "text")))))
+    # a row's number is drawn once and written with its key: another scan could be cut into other partitions
+    listed = written(proposed(docs, key, text))
+    found = written(labelled(described(checked(matches(listed)))))
     taken = found.where("good").select("row", "start", "kind", "end", F.lit(True).alias("base"))
     patterns = selected(found, precision)
     if patterns is not None:
@@ -151,8 +158,7 @@ def personal(docs: DataFrame, key: str = "doc_id", text: str = "text", precision
     span = F.struct("start", "kind", "end")
     per = taken.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"))
     none = F.array().cast(per.schema["spans"].dataType)
-    keys = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"))
-    return keys.join(per, "row", "left").select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"), F.coalesce("base", none).alias("base"))
+    return listed.select("row", "key").join(per, "row", "left").select(F.col("key").alias(key), F.coalesce("spans", none).alias("spans"), F.coalesce("base", none).alias("base"))
 
 
 def named(spans: str) -> Column:
