@@ -195,3 +195,14 @@ def test_splits_keep_training_clear_of_test(spark, sf):
 
     v = W.validate_splits(_flags(spark, sf)).toPandas()
     assert v["valid"].all() and (v["train_size"] > 0).all() and (v["test_size"] > 0).all()
+
+
+def test_regimes_that_differ_only_in_correlation(spark):
+    draw = np.random.default_rng(4)
+    state = (np.arange(600) // 100) % 2
+    a, b = draw.normal(size=(2, 600))
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(600), unit="h")
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": ts, "x": a + 0.3 * state, "y": np.where(state, -a, a) + 0.2 * b}))
+    got = M.predict_regimes(df, M.fit_regimes(df, ["x", "y"], k=2, rounds=30)).toPandas().sort_values("ts")
+    right = (got["state"].to_numpy() == state).mean()
+    assert max(right, 1 - right) >= 0.9

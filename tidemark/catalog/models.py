@@ -73,8 +73,8 @@ FEATURES = ["ret", "volatility_5", "volatility_24", "momentum_5", "momentum_24"]
 
 def _signals(spark, sf, boosted):
     d = _labelled(spark, sf).withColumn("late", F.col("ts") >= F.lit("2024-01-24").cast("timestamp"))
-    model = M.train_signals(d.filter("not late"), FEATURES, boosted=boosted, trees=5 if boosted else 20, depth=3 if boosted else 5)
-    out = M.score_signals(model, d.filter("late"), 0.2)
+    model = M.train_signals(d.filter("not late"), FEATURES, boosted=boosted, trees=100, depth=6)
+    out = M.score_signals(model, d.filter("late"))
     return shaped(out, 4, "symbol ts label predicted confidence score")
 
 
@@ -92,7 +92,7 @@ def score_signals_boosted(spark, sf):
 def predict_regimes(spark, sf):
     d = R.horizon_volatility(_bar_returns(spark, sf), "close", (24,)).select("symbol", "ts", "ret", "volatility_24").na.drop()
     d = d.withColumn("level", F.ln(F.col("volatility_24") + 1))
-    model = M.fit_regimes(d, ["level", "ret"], k=4, rounds=6)
+    model = M.fit_regimes(d, ["level", "ret"], rounds=100)
     return shaped(M.predict_regimes(d, model), 4, "symbol ts state posterior")
 
 

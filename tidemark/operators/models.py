@@ -79,7 +79,7 @@ def score_signals(model: dict, df: DataFrame, least: float = 0.5) -> DataFrame:
 # ---- Gaussian hidden Markov regimes -----------------------------------------------------------------
 
 def fit_regimes(df: DataFrame, features: Sequence[str], s: Series = BARS, k: int = 6, rounds: int = 10):
-    """Diagonal Gaussian HMM by Baum-Welch. Each round is one Spark job: forward-backward per key over its
+    """Gaussian HMM with full covariances by Baum-Welch. Each round is one Spark job: forward-backward per key over its
     (calendar-bounded) series, expected counts summed over keys; only k-sized sums reach the driver."""
     cols = list(features)
     order = list(s.order)
@@ -90,7 +90,7 @@ def fit_regimes(df: DataFrame, features: Sequence[str], s: Series = BARS, k: int
     means_all = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     d = len(cols)
     mu = np.array([[row[f"q{i}"]] + [means_all[f"m{j}"] for j in range(1, d)] for i in range(k)], float)
-    var = np.tile([max(means_all[f"v{j}"], 1e-9) for j in range(d)], (k, 1)).astype(float)
+    var = np.tile(np.diag([max(means_all[f"v{j}"], 1e-9) for j in range(d)]).astype(float), (k, 1, 1))
     start, trans = np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1))
     loglik = -math.inf
     for _ in range(rounds):
@@ -100,16 +100,16 @@ def fit_regimes(df: DataFrame, features: Sequence[str], s: Series = BARS, k: int
         v = np.array([r["v"] for r in got])
         g0, xi, g = v[:k], v[k:k + k * k].reshape(k, k), v[k + k * k:2 * k + k * k]
         at = 2 * k + k * k
-        sx, sxx, ll = v[at:at + k * d].reshape(k, d), v[at + k * d:at + 2 * k * d].reshape(k, d), v[-1]
+        sx, sxx, ll = v[at:at + k * d].reshape(k, d), v[at + k * d:-1].reshape(k, d, d), v[-1]
         w = np.maximum(g, 1e-12)[:, None]
         start, trans = g0 / g0.sum(), (xi + 1e-12) / (xi + 1e-12).sum(1, keepdims=True)
         mu = sx / w
-        var = np.maximum(sxx / w - mu * mu, 1e-9)
+        var = _positive(sxx / w[:, :, None] - mu[:, :, None] * mu[:, None, :])
         if ll - loglik < 1e-4 * abs(ll):
             loglik = ll
             break
         loglik = ll
-    free = k * k - 1 + 2 * k * d
+    free = k * k - 1 + k * d + k * d * (d + 1) // 2
     return {"start": start, "trans": trans, "mean": mu, "var": var, "features": cols, "log_likelihood": loglik,
             "aic": 2 * free - 2 * loglik, "bic": free * math.log(max(n_rows, 1)) - 2 * loglik}
 
@@ -120,14 +120,22 @@ def _expected_counts(cols: list[str], order: list[str], params: tuple):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order, kind="stable")[cols].to_numpy(float)
         gamma, xi, ll = _forward_backward(x, *params)
-        sums = np.concatenate([gamma[0], xi.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), (gamma.T @ (x * x)).ravel(), [ll]])
+        sums = np.concatenate([gamma[0], xi.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), np.einsum("nk,ni,nj->kij", gamma, x, x).ravel(), [ll]])
         return pd.DataFrame({"i": np.arange(len(sums)), "v": sums})
 
     return run
 
 
+def _positive(var: np.ndarray, least: float = 1e-9) -> np.ndarray:
+    """Symmetric matrices with no eigenvalue below ``least``."""
+    values, vectors = np.linalg.eigh((var + var.transpose(0, 2, 1)) / 2)
+    return np.einsum("kij,kj,klj->kil", vectors, np.maximum(values, least), vectors)
+
+
 def _emission(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
-    return -0.5 * (((x[:, None, :] - mu) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1))
+    values, vectors = np.linalg.eigh(var)
+    apart = np.einsum("nki,kij->nkj", x[:, None, :] - mu, vectors)
+    return -0.5 * ((apart**2 / values).sum(2) + np.log(2 * np.pi * values).sum(1))
 
 
 def _forward_backward(x, start, trans, mu, var):
