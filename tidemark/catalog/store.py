@@ -13,6 +13,7 @@ from tidemark.sources import files as S
 from tidemark.sources import store as T
 from tidemark.sources import views as V
 
+PAYLOAD_ROWS = 10_000
 RANGE = ("2024-01-05", "2024-01-20")
 IN_RANGE = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
 
@@ -119,9 +120,10 @@ def retain(spark, sf):
 @query("s14_parse_metric_payload", sql("ticks", f"""SELECT upper(symbol) AS symbol, channel AS metric, to_timestamp(epoch_us(ts) // 1000000)::TIMESTAMP AS ts, 'value' AS field, {r('price')} AS value FROM ticks WHERE channel <> 'error' AND seq % 10 <> 0
 UNION ALL SELECT upper(symbol), channel, to_timestamp(epoch_us(ts) // 1000000)::TIMESTAMP, unnest(['inflow', 'outflow', 'net_flow']), unnest([{r('price')}, {r('price * 2')}, {r('price')}]) FROM ticks WHERE channel = 'error'"""))
 def parse_metric_payload(spark, sf):
-    t = V.ticks(spark, sf).withColumn("t", F.unix_seconds("ts"))
-    points = t.filter("channel <> 'error'").groupBy("symbol", "channel").agg(F.to_json(F.collect_list(F.struct("t", F.when(F.col("seq") % 10 != 0, F.col("price")).alias("v")))).alias("payload"))
-    flows = t.filter("channel = 'error'").groupBy("symbol", "channel").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("t").alias("timestamp"), F.col("price").alias("inflow"), (F.col("price") * 2).alias("outflow"))).alias("result"))).alias("payload"))
+    # a payload holds one day and one block of sequence numbers, so its points are bounded whatever its key has
+    t = V.ticks(spark, sf).withColumns({"t": F.unix_seconds("ts"), "day": F.to_date("ts"), "block": F.floor(F.col("seq") / PAYLOAD_ROWS)})
+    points = t.filter("channel <> 'error'").groupBy("symbol", "channel", "day", "block").agg(F.to_json(F.collect_list(F.struct("t", F.when(F.col("seq") % 10 != 0, F.col("price")).alias("v")))).alias("payload"))
+    flows = t.filter("channel = 'error'").groupBy("symbol", "channel", "day", "block").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("t").alias("timestamp"), F.col("price").alias("inflow"), (F.col("price") * 2).alias("outflow"))).alias("result"))).alias("payload"))
     landed = points.unionByName(flows).select("symbol", F.col("channel").alias("metric"), F.lit("api").alias("source"), "payload")
     return shaped(S.parse_metric_payload(landed), columns="symbol metric ts field value")
 
