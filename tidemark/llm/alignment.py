@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 B_BITS = 15
 SLICES = 8
 #: Documents whose pair lists meet one copy of a slice of the counts.
-DEALT = 1 << 18
+DEALT = 1 << 16
 #: Groups of more token pairs are expanded from distinct ids.
 LARGE = 256
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import alignment, bpe, chat, mixing, permutation, pii, quality, secrets, simhash, token_counts, topk
+from tidemark.llm import alignment, bpe, chat, lexical, mixing, permutation, pii, quality, secrets, simhash, token_counts, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHAT_RANKS = "byte_bpe_50k.tiktoken"
@@ -70,6 +70,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY_A), public_tokenizers.path(VOCABULARY_B))
 
@@ -79,4 +83,4 @@ def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[st
     import corpus_pipeline
 
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
-    return found | {"pipeline": corpus_pipeline.run}, {}
+    return found | {"pipeline": corpus_pipeline.run}, {"op11_lexical_search": lexical.SQL.strip()}
