@@ -23,7 +23,7 @@ from tidemark.llm.common import text_batches, text_of, written
 #: Documents of a block, documents of a leaf, items of a tree, and the distinct terms from which a tree takes no more items.
 BLOCK = 8192
 LEAF = 64
-ITEMS = 16
+ITEMS = 4
 TERMS = 512
 #: Characters of items whose terms are held at once, by the driver and by every task.
 ASKED = 1 << 22
