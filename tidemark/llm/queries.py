@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import alignment, bpe, chat, lexical, mixing, permutation, pii, quality, secrets, simhash, token_counts, topk
+from tidemark.llm import alignment, bpe, chat, forest, lexical, mixing, permutation, pii, quality, secrets, simhash, token_counts, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHAT_RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY_A), public_tokenizers.path(VOCABULARY_B))
 
