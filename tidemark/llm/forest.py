@@ -23,12 +23,12 @@ from tidemark.llm.components import components
 
 TREES, LEAST, DEPTH = 24, 4, 6
 #: Rows up to which a region keeps its prefix; rows of a region, and sets, that one task compares.
-SMALL, CHUNK, SETS = 64, 4096, 512
+SMALL, CHUNK, SETS = 64, 1024, 512
 #: Links need 100 * intersection >= PERCENT * union. A signature of 144 values errs by .033 there; four of that are left.
 PERCENT = 80
 LEAST_ALIKE = 0.67
 #: Rows of a table that may be broadcast.
-SENT = 1 << 20
+SENT = 1 << 18
 SEED = 42
 _HASHES = TREES * DEPTH
 _ODD = np.array([xxhash.xxh64_intdigest(str(i).encode(), 1) | 1 for i in range(_HASHES)], np.uint64)
@@ -136,14 +136,18 @@ def neighbours(near: DataFrame) -> DataFrame:
 
 
 def across(near: DataFrame, of: DataFrame, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
-    """Alike pairs of different components that share a region; ``of`` has ``cls`` and ``comp`` of classes that are joined."""
+    """Regions that hold several components, dealt out in blocks ``p``, ``i``, ``j`` of bounded size.
+
+    ``of`` has ``cls`` and ``comp`` of classes that are joined. A block of side -1 compares all its rows, others
+    their side 0 with their side 1. ``depth`` is the length of the region's prefix.
+    """
     rows = near.join(of, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = _mixed(rows, "p")
+    rows = _mixed(rows, "p").withColumn("depth", F.lit(LEAST))
     regions = None
     for depth in range(LEAST + 1, DEPTH + 1):
         settled, open_ = rows.where(F.col("c") <= small), rows.where(F.col("c") > small)
         regions = settled if regions is None else regions.unionByName(settled)
-        rows = _mixed(open_.drop("c").withColumn("p", prefix(depth)), "p")
+        rows = _mixed(open_.drop("c").withColumn("p", prefix(depth)), "p").withColumn("depth", F.lit(depth))
     regions = regions.unionByName(rows)
     # the largest component of a region that is dealt out meets the others only
     large = regions.where(F.col("c") > chunk)
@@ -156,38 +160,126 @@ def across(near: DataFrame, of: DataFrame, small: int = SMALL, chunk: int = CHUN
     as_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
     to_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least("own", o).alias("i"), (F.col("mains") + F.greatest("own", o)).alias("j"), F.when(F.col("own") == o, -1).otherwise((F.col("own") > o).cast("int")).alias("side")))
-    dealt = dealt.select("p", "cls", "comp", "small", F.explode(F.when(F.col("comp") == F.col("main"), as_main).otherwise(F.concat(to_main, to_others))).alias("e")).select("p", "e.*", "comp", "cls", "small")
-    alone = regions.where(F.col("c") <= chunk).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), "comp", "cls", "small")
-    keys = ["p", "i", "j"]
-    met = alone.unionByName(dealt).repartition(*keys).sortWithinPartitions(*keys, "side", "comp", "cls")
+    columns = ["t", "depth", "comp", "cls", "small"]
+    dealt = dealt.select("p", F.explode(F.when(F.col("comp") == F.col("main"), as_main).otherwise(F.concat(to_main, to_others))).alias("e"), *columns).select("p", "e.*", *columns)
+    alone = regions.where(F.col("c") <= chunk).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *columns)
+    return alone.unionByName(dealt)
+
+
+def _others(side: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each row of a block that has any, itself and the first row of those it is compared with, to the block's end."""
+    left = len(side) if side[0] < 0 else int(np.searchsorted(side, 1))
+    for r in range(left):
+        # sorted by component, so those beyond the own one are others
+        begin = int(np.searchsorted(comp, comp[r], "right")) if side[0] < 0 else left
+        if begin < len(side):
+            yield r, begin
+
+
+def _blocks(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    column = [table.column(c).to_numpy() for c in keys]
+    cut = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in column], axis=0), True])
+    yield from zip(cut[:-1].tolist(), cut[1:].tolist())
+
+
+def partnered(met: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``across`` that are alike to a row of another component in their block."""
+    keys, names = ["p", "i", "j"], ["p", "i", "j", "side", "t", "comp", "cls"]
+    ordered = met.select(*names, "small").repartition(*keys).sortWithinPartitions(*keys, "side", "comp", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in row_groups(batches, keys, 2 * chunk):
-            column = {c: table.column(c).to_numpy() for c in [*keys, "side", "comp", "cls"]}
-            sig = _matrix(table.column("small"))
-            cut = np.flatnonzero(np.r_[True, np.any([column[c][1:] != column[c][:-1] for c in keys], axis=0), True])
-            a, b, share = [], [], []
-            for x, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                side, comp = column["side"][x:e], column["comp"][x:e]
-                left = e - x if side[0] < 0 else int(np.searchsorted(side, 1))
-                for r in range(left):
-                    # sorted by component, so those beyond the own one are others
-                    begin = int(np.searchsorted(comp, comp[r], "right")) if side[0] < 0 else left
-                    if begin >= e - x:
+            sides, comps, sig = table.column("side").to_numpy(), table.column("comp").to_numpy(), _matrix(table.column("small"))
+            hit = np.zeros(table.num_rows, bool)
+            for x, e in _blocks(table, keys):
+                for r, begin in _others(sides[x:e], comps[x:e]):
+                    near = (alike(sig[x + r], sig[x + begin : e]) >= LEAST_ALIKE) & (comps[x + begin : e] != comps[x + r])
+                    if near.any():
+                        hit[x + r] = True
+                        hit[x + begin : e] |= near
+            yield from table.select(names).filter(pa.array(hit)).to_batches()
+
+    return ordered.mapInArrow(run, "p long, i int, j int, side int, t int, comp long, cls long")
+
+
+def confirmed_across(met: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """Links ``a``, ``b`` whose closure with the components is that of all alike pairs that hold on full sets.
+
+    A pair is tried in the first tree whose region holds both, and only if no link of its block joined them before.
+    """
+    found = written(partnered(met, chunk))
+    codes = met.select("cls", "t", "depth").distinct().groupBy("cls").agg(F.sum(F.expr(f"shiftleft(CAST(depth - {LEAST - 1} AS BIGINT), 2 * t)")).alias("code"))
+    texts = texts_of(found.select("cls").distinct(), classes, docs, key, text)
+    keys = ["p", "i", "j"]
+    rows = found.join(codes, "cls").join(classes.select("cls", "wide"), "cls").join(texts, "cls")
+    rows = rows.select(*keys, "side", "t", "comp", "cls", "code", "wide", "text").repartition(*keys).sortWithinPartitions(*keys, "side", "comp", "cls")
+    trees = np.arange(TREES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in row_groups(batches, keys, SETS):
+            side, t, comp, cls, code = (table.column(c).to_numpy() for c in ("side", "t", "comp", "cls", "code"))
+            depth = (code[:, None] >> (2 * trees)) & 3
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), ">u4").reshape(-1, TREES, DEPTH)
+            low = wide.reshape(-1, _HASHES).astype(np.uint8)
+            sets = {}
+
+            def set_of(r):
+                if r not in sets:
+                    sets[r] = shingles(table.column("text")[r].as_py().encode())
+                return sets[r]
+
+            links = []
+            for x, e in _blocks(table, keys):
+                join = Joined()
+                sets.clear()
+                for r, begin in _others(side[x:e], comp[x:e]):
+                    at = np.arange(x + begin, e)
+                    share = alike(low[x + r], low[at])
+                    fit = (share >= LEAST_ALIKE) & (comp[at] != comp[x + r])
+                    at, share = at[fit], share[fit]
+                    if not len(at):
                         continue
-                    found = alike(sig[x + r], sig[x + begin : e])
-                    hit = np.flatnonzero((found >= LEAST_ALIKE) & (comp[begin:] != comp[r]))
-                    if len(hit):
-                        a.append(np.full(len(hit), x + r))
-                        b.append(x + begin + hit)
-                        share.append(found[hit])
-                if sum(map(len, a)) > 1 << 18:
-                    yield _pairs(sig, column["cls"], *map(np.concatenate, (a, b, share)))
-                    a, b, share = [], [], []
-            if a:
-                yield _pairs(sig, column["cls"], *map(np.concatenate, (a, b, share)))
+                    same = np.logical_and.accumulate(wide[x + r] == wide[at], axis=2)[:, :, LEAST - 1 :]
+                    same = np.take_along_axis(same, np.maximum(depth[at] - 1, 0)[:, :, None], 2)[:, :, 0]
+                    here = (same & (depth[at] == depth[x + r]) & (depth[at] > 0)).argmax(1) == t[x + r]
+                    at, share = at[here], share[here]
+                    for other in at[np.argsort(-share, kind="stable")].tolist():
+                        if join.apart(comp[x + r], comp[other]) and linked(set_of(x + r), set_of(other), percent):
+                            join.put(comp[x + r], comp[other])
+                            links.append((cls[x + r], cls[other]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class Joined:
+    """Which components the links of a block have joined so far."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
 
-    return met.mapInArrow(run, _PAIR)
+    def find(self, x: int) -> int:
+        while self.root.get(x, x) != x:
+            self.root[x] = self.root.get(self.root[x], self.root[x])
+            x = self.root[x]
+        return x
+
+    def apart(self, x: int, y: int) -> bool:
+        return self.find(x) != self.find(y)
+
+    def put(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+
+
+def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as rising values, are at least as alike."""
+    if len(one) > len(other):
+        one, other = other, one
+    place = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    both = int(np.count_nonzero(other[place] == one))
+    return 100 * both >= percent * (len(one) + len(other) - both)
 
 
 def _mixed(rows: DataFrame, region: str) -> DataFrame:
@@ -201,62 +293,44 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, of: DataFrame | None, docs: DataFrame, key: str, text: str, percent: int = PERCENT, sets: int = SETS) -> DataFrame:
-    """Links ``a``, ``b`` whose closure is that of all pairs that hold on full sets, within the components ``of``."""
-    pairs = written(pairs.dropDuplicates(["a", "b"]))
-    ends = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls"))
-    reps = written(classes.join(_sent(ends), "cls").select("cls", "rep"))
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``cls`` and the text of one row of each class in ``wanted.cls``."""
+    reps = written(classes.join(_sent(written(wanted)), "cls").select("cls", F.col("rep.key").alias("k"), F.col("rep.th").alias("h")))
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = rows.join(_sent(reps.select("cls", F.col("rep.key").alias("k"), F.col("rep.th").alias("h"))), (F.col("th") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
-    texts = written(found.select("cls", "text"))
-    # repeated rows give a class its text several times; one is enough, told apart where the sets are read
-    side = pairs.select("place", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    parts = side.groupBy("place").agg(F.ceil(F.count("*") / sets).cast("int").alias("c"))
-    split = pairs.join(parts, "place")
+    found = rows.join(_sent(reps), (F.col("th") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
+    return written(found.select("cls", "text").dropDuplicates(["cls"]))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int = PERCENT, sets: int = SETS) -> DataFrame:
+    """Links ``a``, ``b`` whose closure is that of all ``pairs`` that hold on full sets.
+
+    Pairs are tried where they are placed, the most alike first; a place of many sets is dealt out as pairs of chunks.
+    """
+    pairs = written(pairs.dropDuplicates(["a", "b"]))
+    texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls"), classes, docs, key, text)
+    ends = pairs.select("place", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    parts = ends.groupBy("place").agg(F.ceil(F.count("*") / sets).cast("int").alias("c"))
     deal = lambda x: F.pmod(F.xxhash64(x), F.col("c")).cast("int")
-    split = split.select("place", F.least(deal("a"), deal("b")).alias("i"), F.greatest(deal("a"), deal("b")).alias("j"), "a", "b", "share")
-    if of is not None:
-        for end, name in (("a", "x"), ("b", "y")):
-            split = split.join(of.select(F.col("cls").alias(end), F.col("comp").alias(name)), end, "left")
-    else:
-        split = split.withColumn("x", F.lit(None).cast("long")).withColumn("y", F.lit(None).cast("long"))
-    split = split.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b"))
-    split = written(split)
+    split = pairs.join(parts, "place")
+    split = written(split.select("place", F.least(deal("a"), deal("b")).alias("i"), F.greatest(deal("a"), deal("b")).alias("j"), "a", "b", "share"))
     keys = ["place", "i", "j"]
-    held = split.select(*keys, F.explode(F.array("a", "b")).alias("a")).distinct().join(texts.withColumnRenamed("cls", "a"), "a")
-    held = held.select(*keys, F.lit(0.0).alias("order"), "a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "text")
-    asked = split.select(*keys, (F.lit(2.0) - F.col("share")).alias("order"), "a", "b", "x", "y", F.lit(None).cast("string").alias("text"))
+    held = split.select(*keys, F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
+    held = held.select(*keys, F.lit(0.0).alias("order"), F.col("cls").alias("a"), F.col("cls").alias("b"), "text")
+    asked = split.select(*keys, (F.lit(2.0) - F.col("share")).alias("order"), "a", "b", F.lit(None).cast("string").alias("text"))
     met = held.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "order", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, root = None, {}, {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
+        now, known, join = None, {}, Joined()
         for batch in batches:
             links = []
-            at = [batch.column(c).to_pylist() for c in range(8)]
-            for place, i, j, order, a, b, x, y, text_ in zip(*at, batch.column(8).cast(pa.binary()).to_pylist()):
+            columns = [batch.column(c).to_pylist() for c in keys] + [batch.column(c).to_pylist() for c in ("a", "b")]
+            for place, i, j, a, b, own in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
                 if now != (place, i, j):
-                    now, known, root = (place, i, j), {}, {}
-                if text_ is not None:
-                    if a not in known:
-                        known[a] = shingles(text_)
-                    continue
-                x, y = find(x), find(y)
-                if x == y:
-                    continue
-                one, other = known[a], known[b]
-                if len(one) > len(other):
-                    one, other = other, one
-                place_ = np.minimum(np.searchsorted(other, one), len(other) - 1)
-                both = int(np.count_nonzero(other[place_] == one))
-                if 100 * both >= percent * (len(one) + len(other) - both):
-                    root[max(x, y)] = min(x, y)
+                    now, known, join = (place, i, j), {}, Joined()
+                if own is not None:
+                    known[a] = shingles(own)
+                elif join.apart(a, b) and linked(known[a], known[b], percent):
+                    join.put(a, b)
                     links.append((a, b))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
@@ -278,9 +352,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("least"), F.min(F.struct("key", "th")).alias("rep"), F.first("wide").alias("wide"), F.first("small").alias("small"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
     near = written(crowded(classes))
-    links = written(confirmed(neighbours(near), classes, None, docs, key, text, percent, sets))
+    links = written(confirmed(neighbours(near), classes, docs, key, text, percent, sets))
     of = written(components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp")))
-    more = written(confirmed(across(near, of, small, chunk), classes, of, docs, key, text, percent, sets))
+    met = written(across(near, of, small, chunk))
+    more = written(confirmed_across(met, classes, docs, key, text, percent, chunk))
     joined = more
     for end in ("a", "b"):
         joined = joined.join(of.select(F.col("cls").alias(end), F.col("comp").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
