@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, r, rs, shaped, sql
-from tidemark.catalog.recursive import KALMAN, NUM
+from tidemark.catalog.recursive import BREAKER, KALMAN, NUM, TRIGGERS
 from tidemark.operators import states as ST
 from tidemark.sources import views as V
 from tidemark.sources.files import scratch
+from tidemark.streaming import kept as K
 from tidemark.streaming import stateful as T
+from tidemark.streaming import timers as E
 from tidemark.streaming import topics as P
 from tidemark.streaming import windows as W
 
 TICK = "symbol string, ts timestamp, seq bigint, price double, channel string"
 CUTS = ("2024-01-11", "2024-01-21")
-# files that each piece of a topic lands in, and that one micro-batch reads
+DAY = 86_400.0
+# files that each piece of a topic lands in, and that one micro-batch reads; rows of a piece
 FILES = 4
+PIECE = 1_000_000
+
+
+def _pieces(t):
+    """Conditions of time slices of about equal and bounded size, three at least."""
+    n = max(3, -(-t.count() // PIECE))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.select(at.cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)
+    low = [F.lit(True), *[at >= int(c) for c in cuts]]
+    high = [*[at < int(c) for c in cuts], F.lit(True)]
+    return [a & b for a, b in zip(low, high)]
 
 
 def _topic(spark, sf, key="symbol"):
-    """Ticks as a file topic, landed in three time-ordered pieces."""
+    """Ticks as a file topic, landed in time-ordered pieces, as many as the table needs."""
     path = scratch(spark, "topic")
     t = V.ticks(spark, sf).select("symbol", "ts", "seq", "price", "channel")
-    at = F.col("ts")
-    low, high = (F.lit(c).cast("timestamp") for c in CUTS)
-    for part in (t.filter(at < low), t.filter((at >= low) & (at < high)), t.filter(at >= high)):
-        P.land_messages(part.repartition(FILES), path, key)
+    for piece in _pieces(t) if t.head(1) else []:
+        P.land_messages(t.filter(piece).repartition(FILES), path, key)
     return path
 
 
@@ -97,8 +109,8 @@ def stream_join(spark, sf):
 @query("x06_latest_with_ttl", sql("ticks", f"""WITH s AS (SELECT symbol, ts, seq, {", ".join(f"last_value(CASE WHEN channel = '{n}' THEN price END IGNORE NULLS) OVER q AS {n}, last_value(CASE WHEN channel = '{n}' THEN ts END IGNORE NULLS) OVER q AS t_{n}" for n in ("view", "click"))}
  FROM ticks WINDOW q AS (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) SELECT symbol, seq, {rs('view click')} FROM s WHERE ts - t_view <= INTERVAL 2 DAY AND ts - t_click <= INTERVAL 2 DAY"""))
 def latest_with_ttl(spark, sf):
-    d = T.latest_with_ttl(_stream(spark, sf), "symbol", "channel", "price", ["view", "click"], 2 * 86400.0)
-    return shaped(_table(spark, d), columns="symbol seq view click")
+    d = W.watermarked(_stream(spark, sf).drop("key"))
+    return shaped(_table(spark, K.kept_entries(d, ["symbol"], K.Latest("channel", "price", ["view", "click"]), 2 * DAY)), columns="symbol seq view click")
 
 
 @query("x07_restart_from_checkpoint", sql("ticks", f"SELECT symbol, seq, {r('price')} AS price FROM ticks"))
@@ -123,10 +135,89 @@ def kalman_stream(spark, sf):
 
 @query("x09_book_stream", sql("ticks", """WITH u AS (SELECT symbol, ts, seq, CASE WHEN channel IN ('view', 'click') THEN 'bid' ELSE 'ask' END AS side, floor(price / 20) AS price, CASE WHEN seq % 4 = 0 THEN 0 ELSE 1 END AS q FROM ticks),
 e AS (SELECT *, lead(ts) OVER (PARTITION BY symbol, side, price ORDER BY ts, seq) AS until FROM u),
-g AS (SELECT t.symbol, t.seq, max(e.price) FILTER (e.side = 'bid') AS best_bid, min(e.price) FILTER (e.side = 'ask') AS best_ask FROM ticks x JOIN u t ON t.seq = x.seq LEFT JOIN e ON e.symbol = t.symbol AND e.ts <= t.ts AND (e.until IS NULL OR e.until > t.ts) AND e.q > 0 GROUP BY 1, 2)
-SELECT symbol, seq, best_bid, best_ask FROM g"""))
+g AS (SELECT t.symbol, t.seq, max(e.price) FILTER (e.side = 'bid') AS best_bid, min(e.price) FILTER (e.side = 'ask') AS best_ask,
+ count(e.price) FILTER (e.side = 'bid') AS n_bids, count(e.price) FILTER (e.side = 'ask') AS n_asks
+ FROM u t LEFT JOIN e ON e.symbol = t.symbol AND e.ts <= t.ts AND (e.until IS NULL OR e.until > t.ts) AND e.q > 0 AND t.ts - e.ts <= INTERVAL 5 DAY GROUP BY 1, 2)
+SELECT symbol, seq, best_bid, best_ask, n_bids, n_asks FROM g"""))
 def book_stream(spark, sf):
+    """Levels that nothing has touched for five days leave the book."""
     d = _stream(spark, sf).select("symbol", "ts", "seq", F.when(F.col("channel").isin("view", "click"), "bid").otherwise("ask").alias("side"),
                                   F.floor(F.col("price") / 20).cast("double").alias("price"), F.when(F.col("seq") % 4 == 0, 0.0).otherwise(1.0).alias("quantity"))
-    out = T.stream_fold(d, ["symbol"], ["ts", "seq"], T.book_step(), T.BOOK_SCHEMA)
-    return shaped(_table(spark, out), columns="symbol seq best_bid best_ask")
+    return shaped(_table(spark, K.kept_entries(W.watermarked(d), ["symbol"], K.Book(), 5 * DAY)), columns="symbol seq best_bid best_ask n_bids n_asks")
+
+
+# rows at deadlines have no seq; what happens at the end of the stream is what the last watermark allows
+DELAY = "INTERVAL 10 MINUTE"
+
+
+def _timed(spark, sf, machine, **columns):
+    d = W.watermarked(_stream(spark, sf).select("symbol", "ts", "seq", *[c.alias(n) for n, c in columns.items()]))
+    return _table(spark, E.timed_fold(d, ["symbol"], machine)).drop("batch")
+
+
+LIFE_TIMED = f"""n AS (SELECT symbol, seq, channel, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks
+ UNION ALL SELECT symbol, NULL, NULL, any_value(w), count(*) + 1 FROM ticks, (SELECT epoch_us(max(ts) - {DELAY}) / 1e6 + 1e-7 AS w FROM ticks) GROUP BY symbol),
+f AS (SELECT symbol, 0::BIGINT AS k, 'SEARCHING' AS mode, NULL::DOUBLE AS since, NULL::DOUBLE AS entered, NULL::DOUBLE AS d1, NULL::DOUBLE AS d2, NULL::VARCHAR AS first_timeout, false AS moved FROM (SELECT DISTINCT symbol FROM n)
+ UNION ALL SELECT symbol, k, CASE WHEN moved THEN target ELSE m END, CASE WHEN moved THEN t ELSE s END, CASE WHEN moved AND channel = 'click' THEN t ELSE entered END, d1, d2, first_timeout, moved FROM (
+ SELECT *, CASE channel WHEN 'view' THEN m = 'SEARCHING' WHEN 'click' THEN m = 'ENTERING' WHEN 'purchase' THEN m = 'IN_POSITION' WHEN 'signup' THEN m = 'EXITING' WHEN 'error' THEN m = 'ERROR' ELSE false END AS moved,
+  CASE channel WHEN 'view' THEN 'ENTERING' WHEN 'click' THEN 'IN_POSITION' WHEN 'purchase' THEN 'EXITING' ELSE 'SEARCHING' END AS target FROM (
+ SELECT *, CASE WHEN d2 IS NOT NULL THEN 'ERROR' WHEN d1 IS NOT NULL THEN CASE mode WHEN 'IN_POSITION' THEN 'EXITING' ELSE 'ERROR' END ELSE mode END AS m, coalesce(d2, d1, since) AS s,
+  CASE WHEN d1 IS NOT NULL THEN CASE mode WHEN 'ENTERING' THEN 'entry_timeout' WHEN 'EXITING' THEN 'exit_timeout' ELSE 'position_timeout' END END AS first_timeout FROM (
+ SELECT *, CASE WHEN mode = 'IN_POSITION' AND d1 + {DAY} < t THEN d1 + {DAY} END AS d2 FROM (
+ SELECT n.symbol, n.k, n.channel, n.t, p.mode, p.since, p.entered, CASE WHEN p.mode IN ('ENTERING', 'EXITING') AND p.since + {DAY} < n.t THEN p.since + {DAY} WHEN p.mode = 'IN_POSITION' AND p.entered + {3 * DAY} < n.t THEN p.entered + {3 * DAY} END AS d1
+ FROM f p JOIN n ON n.symbol = p.symbol AND n.k = p.k + 1)))))"""
+
+
+@query("st05b_lifecycle_timers", sql("ticks", f"""WITH RECURSIVE {LIFE_TIMED}, j AS (SELECT n.*, f.* EXCLUDE (symbol, k) FROM n JOIN f USING (symbol, k))
+SELECT symbol, seq, {r('t', 3)} AS at, mode AS state, CASE WHEN moved THEN CASE channel WHEN 'view' THEN 'entry_signal' WHEN 'click' THEN 'position_entered' WHEN 'purchase' THEN 'exit_signal' WHEN 'signup' THEN 'position_exited' ELSE 'reset' END END AS transition FROM j WHERE seq IS NOT NULL
+UNION ALL SELECT symbol, NULL, {r('d1', 3)}, CASE first_timeout WHEN 'position_timeout' THEN 'EXITING' ELSE 'ERROR' END, first_timeout FROM j WHERE d1 IS NOT NULL
+UNION ALL SELECT symbol, NULL, {r('d2', 3)}, 'ERROR', 'exit_timeout' FROM j WHERE d2 IS NOT NULL"""))
+def lifecycle_timers(spark, sf):
+    """Timeouts fire when they are due, whether or not a row follows."""
+    trigger = F.create_map(*[x for k, v in TRIGGERS.items() for x in (F.lit(k), F.lit(v))])[F.col("channel")]
+    d = _timed(spark, sf, E.Lifecycle(DAY, DAY, 3 * DAY), trigger=trigger)
+    return shaped(_at(d), 3, "symbol seq at state transition")
+
+
+def _at(d):
+    return d.withColumn("at", F.unix_micros("ts") / 1e6)
+
+
+SLOW_BREAKER = ST.BREAKER | {"min_halt": DAY, "max_halt": 2 * DAY, "stability": 4 * DAY}
+BREAKER_TIMED = (BREAKER.replace("FROM f JOIN n ON", f"""FROM (SELECT f.* EXCLUDE (mode, recovering, seen), CASE WHEN due IS NULL THEN f.mode ELSE 'RECOVERY' END AS mode, coalesce(due, f.recovering) AS recovering, CASE WHEN due IS NULL THEN f.seen ELSE [] END AS seen FROM (
+ SELECT f.* EXCLUDE (due), CASE WHEN f.mode = 'HALT' AND f.since + {2 * DAY} < n.t THEN f.since + {2 * DAY} END AS due FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1) f) f JOIN n ON""")
+                 .replace(">= 300 AND", f">= {DAY} AND").replace(">= 7200", f">= {2 * DAY}").replace("> 300 AND", f"> {4 * DAY} AND").replace("* 300.0::DOUBLE", f"* {4 * DAY}::DOUBLE")
+                 .replace("NULL::VARCHAR AS event, NULL::VARCHAR AS severity FROM (SELECT DISTINCT", "NULL::VARCHAR AS event, NULL::VARCHAR AS severity, NULL::DOUBLE AS due FROM (SELECT DISTINCT")
+                 .replace("ELSE 'RECOVERY_FAILED' END END FROM (", "ELSE 'RECOVERY_FAILED' END END, due FROM (").replace("f.recovering, f.seen, CASE WHEN mode IN", "f.recovering, f.seen, f.due, CASE WHEN mode IN"))
+
+
+@query("st04b_breaker_timers", sql("ticks", f"""WITH RECURSIVE {BREAKER_TIMED}, j AS (SELECT n.symbol, n.seq, n.t, n.k, f.* EXCLUDE (symbol, k) FROM n JOIN f USING (symbol, k)),
+last AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) AS back FROM j)
+SELECT symbol, seq, {r('t', 3)} AS at, mode AS state, event, severity FROM j
+UNION ALL SELECT symbol, NULL, {r('due', 3)}, 'RECOVERY', 'forced_release', NULL FROM j WHERE due IS NOT NULL
+UNION ALL SELECT symbol, NULL, {r(f'since + {2 * DAY}', 3)}, 'RECOVERY', 'forced_release', NULL FROM last WHERE back = 1 AND mode = 'HALT' AND since + {2 * DAY} <= (SELECT epoch_us(max(ts) - {DELAY}) / 1e6 FROM ticks)"""))
+def breaker_timers(spark, sf):
+    """A halt is released after its longest time without waiting for a row."""
+    p = F.least(F.col("price") / 120, F.lit(1.0))
+    d = W.watermarked(_stream(spark, sf)).filter(p > 0.1).select("symbol", "ts", "seq", p.alias("probability"), (F.col("seq") % 3 * 1.0 + 0.2).alias("recent_std"))
+    d = _table(spark, E.timed_fold(d, ["symbol"], E.Breaker(SLOW_BREAKER)))
+    return shaped(_at(d), 3, "symbol seq at state event severity")
+
+
+SNAP = f"""n AS (SELECT symbol, seq, price, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks
+ UNION ALL SELECT symbol, NULL, NULL, any_value(w), count(*) + 1 FROM ticks, (SELECT epoch_us(max(ts) - {DELAY}) / 1e6 + 1e-7 AS w FROM ticks) GROUP BY symbol),
+f AS (SELECT symbol, 0::BIGINT AS k, NULL::DOUBLE AS made, NULL::BIGINT AS waiting, NULL::DOUBLE AS due, NULL::BIGINT AS fired, false AS own FROM (SELECT DISTINCT symbol FROM n)
+ UNION ALL SELECT symbol, k, CASE WHEN own THEN t ELSE m END, CASE WHEN own THEN NULL ELSE seq END, due, fired, own FROM (
+ SELECT *, seq IS NOT NULL AND (m IS NULL OR t >= m + {DAY / 2}) AS own FROM (
+ SELECT *, coalesce(due, made) AS m, CASE WHEN due IS NOT NULL THEN waiting END AS fired FROM (
+ SELECT n.*, f.made, f.waiting, CASE WHEN f.waiting IS NOT NULL AND f.made + {DAY / 2} < n.t THEN f.made + {DAY / 2} END AS due FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.k + 1))))"""
+
+
+@query("b08b_snapshot_timers", sql("ticks", f"""WITH RECURSIVE {SNAP}, j AS (SELECT n.*, f.* EXCLUDE (symbol, k) FROM n JOIN f USING (symbol, k))
+SELECT symbol, {r('t', 3)} AS at, seq AS snapshot_seq, {r('price')} AS value FROM j WHERE own
+UNION ALL SELECT j.symbol, {r('due', 3)}, fired, {r('ticks.price')} FROM j JOIN ticks ON ticks.seq = fired WHERE due IS NOT NULL"""))
+def snapshot_timers(spark, sf):
+    """Twelve-hourly snapshots: at once when none was made for so long, else when that time is over."""
+    d = W.watermarked(_stream(spark, sf)).select("symbol", "ts", "seq", F.col("price").alias("value"))
+    d = _table(spark, E.timed_fold(d, ["symbol"], E.Snapshots(DAY / 2)))
+    return shaped(_at(d), columns="symbol at snapshot_seq value", per={"at": 3})

@@ -145,57 +145,60 @@ BREAKER = {"warning": 0.5, "halt": 0.7, "critical": 0.9, "warnings": 3, "high_ev
            "recovery": 0.2, "stability": 300.0}
 
 
+def breaker_row(state: tuple | None, t: float, p: float, std: float, conf: dict = BREAKER) -> tuple[tuple, tuple]:
+    """The breaker's state after one change-point event, and (state, event, severity) of it."""
+    mode, since, warnings, highs, recovering, seen = state or ("NORMAL", None, 0, 0, None, ())
+    scale = 0.8 if std > 2.0 else 1.2 if std < 0.5 else 1.0
+    bounds = ((0.1, 0.9), (0.2, 0.95), (0.3, 1.0))
+    warn, halt, critical = (min(hi, max(lo, conf[k] * scale)) for k, (lo, hi) in zip(("warning", "halt", "critical"), bounds))
+    event = severity = None
+    if mode in ("NORMAL", "WARNING"):
+        was_warning = mode == "WARNING"
+        if p >= critical:
+            event, severity = "halt", "CRITICAL"
+        elif p >= halt:
+            highs += 1
+            mode = "WARNING"
+            if highs >= conf["high_events"]:
+                event, severity = "halt", "HIGH"
+        elif p >= warn:
+            mode = "WARNING"
+            warnings += was_warning
+            if warnings >= conf["warnings"]:
+                event, severity = "halt", "MEDIUM"
+        else:
+            mode, warnings, highs = "NORMAL", 0, 0
+    elif mode == "HALT":
+        held = t - since
+        if (held >= conf["min_halt"] and p <= conf["recovery"]) or held >= conf["max_halt"]:
+            mode, recovering, seen = "RECOVERY", t, ()
+    else:
+        seen = (*seen, p)
+        age = t - recovering
+        if age > conf["stability"]:
+            seen = seen[-int(len(seen) * conf["stability"] / age):]
+        if len(seen) >= 3:
+            top, mean = max(seen[-5:]), sum(seen[-10:]) / min(10, len(seen))
+            if top <= conf["recovery"] and mean <= 1.5 * conf["recovery"]:
+                event, mode = "recovery", "NORMAL"
+                since, recovering, seen, warnings, highs = None, None, (), 0, 0
+            elif top > halt:
+                event, severity = "halt", "RECOVERY_FAILED"
+    if event == "halt":
+        mode, since, warnings, highs = "HALT", t, 0, 0
+    return (mode, since, warnings, highs, recovering, seen), (mode, event, severity)
+
+
 def breaker_step(keep: list[str], probability: str = "probability", spread_std: str = "recent_std", ts: str = "ts", conf: dict = BREAKER):
     """NORMAL / WARNING / HALT / RECOVERY over change-point events, with halt and recovery events."""
 
-    def limits(std: float) -> tuple[float, float, float]:
-        scale = 0.8 if std > 2.0 else 1.2 if std < 0.5 else 1.0
-        bounds = ((0.1, 0.9), (0.2, 0.95), (0.3, 1.0))
-        return tuple(min(hi, max(lo, conf[k] * scale)) for k, (lo, hi) in zip(("warning", "halt", "critical"), bounds))
-
     def step(rows: pd.DataFrame, state):
-        mode, since, warnings, highs, recovering, seen = state or ("NORMAL", None, 0, 0, None, ())
         result = []
         for t, p, std in zip(seconds(rows[ts]), rows[probability].to_numpy(float), rows[spread_std].to_numpy(float)):
-            warn, halt, critical = limits(std)
-            event = severity = None
-            if mode in ("NORMAL", "WARNING"):
-                was_warning = mode == "WARNING"
-                if p >= critical:
-                    event, severity = "halt", "CRITICAL"
-                elif p >= halt:
-                    highs += 1
-                    mode = "WARNING"
-                    if highs >= conf["high_events"]:
-                        event, severity = "halt", "HIGH"
-                elif p >= warn:
-                    mode = "WARNING"
-                    warnings += was_warning
-                    if warnings >= conf["warnings"]:
-                        event, severity = "halt", "MEDIUM"
-                else:
-                    mode, warnings, highs = "NORMAL", 0, 0
-            elif mode == "HALT":
-                held = t - since
-                if (held >= conf["min_halt"] and p <= conf["recovery"]) or held >= conf["max_halt"]:
-                    mode, recovering, seen = "RECOVERY", t, ()
-            else:
-                seen = (*seen, p)
-                age = t - recovering
-                if age > conf["stability"]:
-                    seen = seen[-int(len(seen) * conf["stability"] / age):]
-                if len(seen) >= 3:
-                    top, mean = max(seen[-5:]), sum(seen[-10:]) / min(10, len(seen))
-                    if top <= conf["recovery"] and mean <= 1.5 * conf["recovery"]:
-                        event, mode = "recovery", "NORMAL"
-                        since, recovering, seen, warnings, highs = None, None, (), 0, 0
-                    elif top > halt:
-                        event, severity = "halt", "RECOVERY_FAILED"
-            if event == "halt":
-                mode, since, warnings, highs = "HALT", t, 0, 0
-            result.append((mode, event, severity))
+            state, said = breaker_row(state, t, p, std, conf)
+            result.append(said)
         out = pd.concat([rows[keep].reset_index(drop=True), pd.DataFrame(result, columns=["state", "event", "severity"])], axis=1)
-        return out, (mode, since, warnings, highs, recovering, seen)
+        return out, state
 
     return step
 
@@ -210,6 +213,15 @@ LIFECYCLE = {
 }
 
 
+def lifecycle_row(state: tuple, t: float, trigger: str) -> tuple[tuple, bool]:
+    """The state after a trigger, and whether its state allowed it."""
+    mode, since, entered = state
+    allowed, target = LIFECYCLE.get(trigger, ((), None))
+    if mode not in allowed:
+        return state, False
+    return (target, t, t if trigger == "position_entered" else entered), True
+
+
 def lifecycle_step(keep: list[str], trigger: str = "trigger", ts: str = "ts", entry_s: float = 300.0, exit_s: float = 300.0, hold_s: float = 86_400.0):
     """Trade states per pair: timeouts are applied first, then the row's trigger where its state allows it."""
 
@@ -224,11 +236,8 @@ def lifecycle_step(keep: list[str], trigger: str = "trigger", ts: str = "ts", en
                 moves.append(("position_timeout", "EXITING"))
             if moves:
                 mode, since = moves[-1][1], t
-            allowed, target = LIFECYCLE.get(name, ((), None))
-            if mode in allowed:
-                moves.append((name, target))
-                mode, since = target, t
-                entered = t if name == "position_entered" else entered
+            (mode, since, entered), moved = lifecycle_row((mode, since, entered), t, name)
+            moves += [(name, mode)] if moved else []
             result.append((mode, ",".join(m for m, _ in moves) or None))
         out = pd.concat([rows[keep].reset_index(drop=True), pd.DataFrame(result, columns=["state", "transition"])], axis=1)
         return out, (mode, since, entered)

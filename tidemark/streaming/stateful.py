@@ -28,43 +28,3 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
         yield out
 
     return df.groupBy(*keys).applyInPandasWithState(run, schema, "blob binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def book_step(depth: int = 20):
-    """Incremental order book: quantity 0 removes a price, otherwise sets it; emits the touch per update."""
-
-    def step(rows: pd.DataFrame, state):
-        bids, asks = (dict(x) for x in (state or ((), ())))
-        out = []
-        for ts, seq, side, price, quantity in zip(rows["ts"], rows["seq"], rows["side"], rows["price"], rows["quantity"]):
-            book = bids if side == "bid" else asks
-            if quantity == 0:
-                book.pop(price, None)
-            else:
-                book[price] = quantity
-            out.append((seq, max(bids) if bids else None, min(asks) if asks else None, min(depth, len(bids)), min(depth, len(asks))))
-        frame = pd.DataFrame(out, columns=["seq", "best_bid", "best_ask", "n_bids", "n_asks"])
-        frame.insert(0, "symbol", rows["symbol"].iloc[0])
-        return frame, (tuple(bids.items()), tuple(asks.items()))
-
-    return step
-
-
-BOOK_SCHEMA = "symbol string, seq bigint, best_bid double, best_ask double, n_bids bigint, n_asks bigint"
-
-
-def latest_with_ttl(df: DataFrame, key: str, stream: str, value: str, names: Sequence[str], ttl_s: float, ts: str = "ts", tie: str = "seq") -> DataFrame:
-    """At every row, the latest value of each named stream of its key, when all are within the TTL.
-    Entries older than the TTL leave the state."""
-    def step(rows: pd.DataFrame, state):
-        seen = dict(state or ())
-        out = []
-        for t, q, name, v in zip(rows[ts], rows[tie], rows[stream], rows[value]):
-            seen[name] = (t, v)
-            seen = {k: x for k, x in seen.items() if (t - x[0]).total_seconds() <= ttl_s}
-            if all(n in seen for n in names):
-                out.append((rows[key].iloc[0], q, *[seen[n][1] for n in names]))
-        return pd.DataFrame(out, columns=[key, tie, *names]), tuple(sorted(seen.items()))
-
-    schema = f"{key} string, {tie} bigint, " + ", ".join(f"{n} double" for n in names)
-    return stream_fold(df, [key], [ts, tie], step, schema)

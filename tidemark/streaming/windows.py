@@ -38,18 +38,18 @@ def is_late(ts: Column, newest: str | None, delay: str) -> Column:
 
 
 def split_late(stream: DataFrame, on_time: str, late: str, checkpoint: str, delay: str = "10 minutes", ts: str = "ts") -> None:
-    """Write rows on time and late rows to two tables, one folder per micro-batch. The newest time is read
-    from the folders written by earlier batches, so a restart decides the same way."""
+    """Write rows on time and late rows to two tables, one folder per micro-batch. Each batch leaves the newest
+    time so far, one row, beside the checkpoint; the next one reads that row only, and a restart decides the same way."""
     spark = stream.sparkSession
+    newest_of = lambda number: f"{checkpoint}-newest/batch={number}"
 
     def save(batch: DataFrame, number: int) -> None:
-        newest = None
-        if number > 0:
-            past = spark.read.parquet(on_time).filter(F.col("batch") < number)
-            newest = past.agg(F.max(ts).cast("string")).first()[0]
+        newest = spark.read.parquet(newest_of(number - 1)).first()[0] if number > 0 else None
         flagged = batch.withColumn("_late", is_late(F.col(ts), newest, delay))
         flagged.filter(~F.col("_late")).drop("_late").write.mode("overwrite").parquet(f"{on_time}/batch={number}")
         flagged.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{late}/batch={number}")
+        own = spark.read.schema(batch.schema).parquet(f"{on_time}/batch={number}").agg(F.max(ts).alias("m"))
+        own.select(F.greatest(F.col("m"), F.lit(newest).cast("timestamp")).cast("string").alias("newest")).write.mode("overwrite").parquet(newest_of(number))
 
     query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
