@@ -97,3 +97,29 @@ def test_odd_rows(spark):
     assert near == [(0, 1, 100, 5.0), (0, 2, 6, 1.0), (0, 3, 6, 1.0), (100, 1, 0, 5.0), (100, 2, 6, 1.0), (100, 3, 6, 1.0)]
     more = spark.createDataFrame(rows, frame.schema)
     assert topk.top_k(more).count() == 10 and topk.top_k(frame.limit(0)).count() == 0 and permutation.nearest(frame.limit(0)).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    draw = np.random.default_rng(6)
+    x = draw.integers(-10**6, 10**6, (300, 8)).astype(float) / 4
+    x[:40] *= draw.choice([1.0, 1e6, 1e12], (40, 8))
+    x[40:60] = x[40]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(256 * v)) for v in row] for row in x]
+    limit = (1 << 63) - 1
+    got = sorted(map(tuple, topk.top_k(frame, every=10, block=64).collect()))
+    want = []
+    for q in range(0, 300, 10):
+        scores = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in range(300) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+def test_query_recall_on_more_vectors(spark):
+    sf = "/root/testdata/sf0.1"
+    ids, x = vectors_of(spark, sf)
+    found = {}
+    for r in op5_permutation_ann(spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {int(ids[q]): {i for i, _ in ranked(ids, x @ x[q], ids[q], 20)} for q in np.flatnonzero(ids % 20 == 0)}
+    assert sum(len(found[q] & want[q]) for q in want) >= 0.95 * 20 * len(want)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import text_batches
+from tidemark.llm.common import text_batches, written
 
 BLOCK = 8192
 ASKED = 1 << 16
@@ -40,9 +40,11 @@ def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, index: Cal
     """
     spark = vectors.sparkSession
     text_batches(spark, BATCH)
+    # numbered and written once, so that a part computed again deals its rows to the same blocks
+    vectors = written(vectors.withColumn("number", F.monotonically_increasing_id()))
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks, parts = max(1, -(-n // block)), max(1, -(-queries.count() // asked))
-    own = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
+    own = F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")
     left = vectors.select(own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(0).alias("role"), "id", "v")
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), part.alias("p"), F.lit(1).alias("role"), "id", "v")
