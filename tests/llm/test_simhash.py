@@ -82,3 +82,12 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = sorted((r.doc_id for r in simhash.one_of_each(docs).collect()), key=str)
     assert kept == [1, 3, 9, None, None]
+
+
+def test_one_of_each_keeps_rows_of_repeated_keys_apart(spark):
+    a, b, c = "one text of a few words here", "quite another text that nothing resembles", "a third one of its own kind"
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, c, 4), (3, c, 5), (4, c, 6), (None, a, 7), (None, None, 8), (5, None, 9), (6, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, a), (None, None), (5, None)], key=str)
+    assert simhash.one_of_each(docs).columns == docs.columns

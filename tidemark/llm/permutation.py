@@ -21,8 +21,8 @@ from tidemark.llm.search import BLOCK, askers, nearest_in_blocks, usable
 #: Size of the pivot sample, taken by the hash of distinct vectors; places kept of an order; distinct vectors that are
 #: reranked as a share of a block's rows, and the least number of them.
 PIVOTS = 128
-PLACES = 40
-SHARE = 0.2
+PLACES = 64
+SHARE = 0.25
 LEAST = 200
 
 
@@ -67,8 +67,13 @@ class Files:
             nearer[(self.least == q) & (self.most == q)] = -1
             last = np.partition(nearer, n - self.reranked)[n - self.reranked] if n > self.reranked else 0
             few = np.flatnonzero(nearer >= max(last, 0))
+            exact = np.einsum("ij,j->i", self.x[few], vector)
+            if len(few) > self.k + 1:
+                # the own vector aside, k vectors of higher scores leave no place to a lower one
+                least = np.partition(exact, len(few) - self.k - 1)[len(few) - self.k - 1]
+                few, exact = few[exact >= least], exact[exact >= least]
             score = np.full(n, -np.inf)
-            score[few] = np.einsum("ij,j->i", self.x[few], vector)
+            score[few] = exact
             own = self.ids == q
             rows = np.flatnonzero((score > -np.inf)[self.of] & (self.nth < self.k + own.sum()) & ~own)
             yield q, self.ids[rows], score[self.of[rows]]

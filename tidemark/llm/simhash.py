@@ -189,10 +189,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key. Rows without a key are kept."""
-    groups = near_duplicates(docs, key, text, radius)
-    lost = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(lost, key, "left_anti")
-    repeated = groups.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key)
-    several = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").unionByName(several)
+    """``docs`` with one row of each component, that of the smallest key; of such rows one with the least text hash.
+
+    Rows of a repeated key are told apart by their texts, so each is kept or lost with its own component. Rows that
+    are equal in key and text stand for each other. Rows without a key are all kept.
+    """
+    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).select("k", "t", F.xxhash64("t").alias("th"))
+    prints = written(fingerprints(rows.withColumn("id", F.struct("k", "th")), "id", "t").select("id.*", "fp"))
+    classes = prints.groupBy("fp").agg(F.min("k").alias("least"))
+    roots = components(links(prints, radius)).withColumnRenamed("node", "fp")
+    roots = written(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # the smallest key of a component, and of its texts the one of the least hash
+    first = prints.where("k IS NOT NULL").join(roots, "fp").groupBy("root").agg(F.min(F.struct("k", "th")).alias("first"))
+    first = written(first.select("first.*").groupBy("k", "th").count().select("k", "th"))
+    own = docs.withColumn("_th", F.xxhash64(text_of(text)))
+    kept = own.join(first, (F.col(key) == F.col("k")) & (F.col("_th") == F.col("th")), "left_semi")
+    several = written(prints.where("k IS NOT NULL").groupBy("k", "th").count().where("count > 1").select("k", "th"))
+    same = (F.col(key) == F.col("k")) & (F.col("_th") == F.col("th"))
+    repeated = kept.join(several, same, "left_semi").dropDuplicates([key, "_th"])
+    return kept.join(several, same, "left_anti").unionByName(repeated).unionByName(own.where(F.col(key).isNull())).drop("_th")
