@@ -21,7 +21,7 @@ from tidemark.llm.search import BLOCK, askers, nearest_in_blocks, usable
 #: Size of the pivot sample, taken by the hash of distinct vectors; places kept of an order; distinct vectors that are
 #: reranked as a share of a block's rows, and the least number of them.
 PIVOTS = 128
-PLACES = 64
+PLACES = 64  # up to 255, whose worth 16 bits hold
 SHARE = 0.25
 LEAST = 200
 
@@ -50,24 +50,24 @@ class Files:
         self.least, self.most = self.ids[rows[begins[:-1]]], self.ids[rows[begins[1:] - 1]]
         more = np.sqrt(np.maximum(length - (self.x**2).sum(1), 0))
         place_of = orders(np.c_[self.x, more], pivots, places)
-        entry, place = np.repeat(np.arange(n), places), np.tile(np.arange(places), n)
-        by = np.lexsort((place, place_of.ravel()))
-        bounds = np.searchsorted(place_of.ravel()[by], np.arange(len(pivots) + 1))
-        self.files = [(entry[by[a:b]], place[by[a:b]].astype(np.int32)) for a, b in zip(bounds[:-1], bounds[1:])]
+        # a file a pivot: what each vector's place of it is worth, nothing where it has none
+        self.files = np.zeros((len(pivots), n), np.int16)
+        self.files[place_of, np.arange(n)[:, None]] = places - np.arange(places)
         self.reranked = max(LEAST, int(np.ceil(share * len(ids))))
 
     def __call__(self, query_ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         asked = orders(np.c_[matrix, np.zeros(len(matrix))], self.pivots, self.places)
         n = len(self.x)
+        shared, worth = np.empty((self.places, n), np.int16), (self.places - np.arange(self.places, dtype=np.int16))[:, None]
+        read = np.empty_like(self.x)
         for q, order, vector in zip(query_ids, asked, matrix):
-            nearer = np.zeros(n, np.int32)
-            for j, p in enumerate(order):
-                entries, place = self.files[p]
-                nearer[entries] += self.places - np.maximum(place, j)
+            np.take(self.files, order, axis=0, out=shared, mode="clip")
+            np.minimum(shared, worth, out=shared)
+            nearer = np.add.reduce(shared, axis=0, dtype=np.int16)
             nearer[(self.least == q) & (self.most == q)] = -1
             last = np.partition(nearer, n - self.reranked)[n - self.reranked] if n > self.reranked else 0
             few = np.flatnonzero(nearer >= max(last, 0))
-            exact = np.einsum("ij,j->i", self.x[few], vector)
+            exact = np.einsum("ij,j->i", np.take(self.x, few, axis=0, out=read[: len(few)], mode="clip"), vector)
             if len(few) > self.k + 1:
                 # the own vector aside, k vectors of higher scores leave no place to a lower one
                 least = np.partition(exact, len(few) - self.k - 1)[len(few) - self.k - 1]
