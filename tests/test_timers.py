@@ -85,3 +85,15 @@ def test_late_rows_read_one_row_of_the_past(spark):
     windows.split_late(stream, on, late, progress, "10 minutes")
     assert [r.seq for r in spark.read.parquet(late).collect()] == [50] and spark.read.parquet(on).count() == 20
     assert all(r["n"] == 1 for r in spark.read.parquet(f"{progress}-newest").groupBy("batch").agg(F.count("*").alias("n")).collect())
+
+
+def test_alerts_fire_after_their_hold_time(spark, layout):
+    from tidemark.operators.policy import alert_runs
+
+    rows = [("a", "cpu_usage_percent", at(60 * i), i, v) for i, v in enumerate([90, 91, 92, 93, 94, 95, 96, 10, 99, 99, 5, None, 85, 81])]
+    rows += [("a", "trading_halted", at(0), 1, 1.0), ("a", "trading_halted", at(0), 2, 0.0), ("a", "trading_halted", at(0), 3, 1.0), (None, "service_up", at(0), 1, 0.0), (None, "service_up", at(30), 2, 0.0), ("a", "unknown", at(0), 1, 1.0)]
+    frame = spark.createDataFrame([(k, m, t, i, None if v is None else float(v)) for k, m, t, i, v in rows], "symbol string, metric string, ts timestamp, seq long, value double")
+    seconds = lambda t: None if t is None else (t - START).total_seconds()
+    got = sorted(((r.symbol, r.alert, seconds(r.started_at), seconds(r.fired_at), seconds(r.resolved_at)) for r in alert_runs(frame, ["symbol"]).collect()), key=str)
+    assert got == sorted([("a", "HighCPUUsage", 0, 300, 420), ("a", "TradingHalted", 0, 0, 0), ("a", "TradingHalted", 0, 0, None), (None, "ServiceDown", 0, 30, None)], key=str)
+    assert alert_runs(frame.limit(0), ["symbol"]).count() == 0

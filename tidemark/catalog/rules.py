@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, r, rs, shaped, sql
 from tidemark.functions import rules as X
+from tidemark.operators import aggregates as A
 from tidemark.operators import policy as P
 from tidemark.operators import rolling as R
-from tidemark.plans.series import BARS
+from tidemark.plans.series import BARS, Series
 from tidemark.sources import views as V
 
 
@@ -241,6 +242,56 @@ def alert_rules(spark, sf):
     return shaped(P.alert_rules(long), 4, "pair alert severity value")
 
 
+# every metric of the rules as a series per channel: gauges from prices, rates and increases of counters, latencies
+GAUGES = {
+    "trading_halted": "CASE WHEN price > 90 THEN 1.0 ELSE 0.0 END", "current_drawdown_percent": "price / 5", "concentration_risk_percent": "price / 2",
+    "changepoint_probability": "least(price / 100, 1.0)", "service_up": "CASE WHEN price < 5 THEN 0.0 ELSE 1.0 END", "memory_usage_percent": "least(price * 2, 100.0)",
+    "cpu_usage_percent": "least(price * 1.7, 100.0)", "data_staleness_seconds": "price", "connection_status": "CASE WHEN price > 70 THEN 0.0 ELSE 1.0 END",
+    "kafka_consumer_lag_sum": "price * 20", "kafka_topic_partition_leader": "CASE WHEN price < 2 THEN -1.0 ELSE 1.0 END", "win_rate": "price", "sharpe_ratio": "price / 50",
+}
+# metric: width of the window, what is taken of the counter's growth and its factor
+COUNTERS = {"errors_rate_5m": (300, "rate", 1.0), "messages_processed_rate_5m": (300, "rate", 100.0), "trade_volume_rate_1h": (3600, "rate", 100_000.0), "realized_pnl_increase_1d": (86_400, "increase", -50.0)}
+_HOLDS = ", ".join(f"('{a}', '{m}', '{c}', {b!r}::DOUBLE, '{s}', {P.ALERT_HOLDS[a]!r}::DOUBLE)" for a, m, c, b, s in P.ALERT_RULES)
+
+
+def _counter_sql(metric, width, kind, factor):
+    value = f"sum(grown) * {factor!r}::DOUBLE" if kind == "increase" else f"sum(grown) / {width} * {factor!r}::DOUBLE"
+    return f"SELECT symbol, '{metric}', time_bucket(INTERVAL {width} SECOND, ts)::TIMESTAMP + INTERVAL {width} SECOND, 0, {value} FROM grown GROUP BY 1, 3"
+
+
+METRICS_SQL = f"""grown AS (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN price < p THEN price ELSE price - p END AS grown FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq) AS p FROM channel_ticks)),
+samples(symbol, metric, ts, seq, value) AS ({" UNION ALL ".join(f"SELECT symbol, '{m}', ts, seq, ({e})::DOUBLE FROM channel_ticks" for m, e in GAUGES.items())}
+ UNION ALL {" UNION ALL ".join(_counter_sql(m, *c) for m, c in COUNTERS.items())}
+ UNION ALL SELECT symbol, 'request_duration_p95_5m', time_bucket(INTERVAL 5 MINUTE, ts)::TIMESTAMP + INTERVAL 5 MINUTE, 0, quantile_cont(price, 0.95) / 50 FROM channel_ticks GROUP BY 1, 3)"""
+
+
+def metric_samples(spark, sf):
+    t = V.channel_ticks(spark, sf)
+    s = Series(("symbol",), ("ts", "seq"))
+    gauges = t.select("symbol", "ts", "seq", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("value")) for m, e in GAUGES.items()])).alias("g")).select("symbol", "ts", "seq", "g.*")
+    out = gauges
+    for width in sorted({w for w, _, _ in COUNTERS.values()}):
+        own = {m: (kind, factor) for m, (w, kind, factor) in COUNTERS.items() if w == width}
+        d = A.counter_increase(t, s, "price", f"{width} seconds")
+        values = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(kind) * factor).alias("value")) for m, (kind, factor) in own.items()])
+        out = out.unionByName(d.select("symbol", (F.col("window_start") + F.expr(f"INTERVAL {width} SECONDS")).alias("ts"), F.lit(0).cast("long").alias("seq"), F.explode(values).alias("g")).select("symbol", "ts", "seq", "g.*"))
+    slow = A.latency_quantiles(t, "symbol", "price")
+    slow = slow.select("symbol", (F.col("window_start") + F.expr("INTERVAL 5 MINUTES")).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("request_duration_p95_5m").alias("metric"), (F.col("p95") / 50).alias("value"))
+    return out.unionByName(slow)
+
+
+@query("e20b_alert_runs", sql("channel_ticks", f"""WITH rules(alert, metric, comparison, bound, severity, hold) AS (SELECT * FROM (VALUES {_HOLDS})), {METRICS_SQL},
+b AS (SELECT symbol, alert, severity, hold, ts, seq, CASE comparison WHEN '>' THEN value > bound WHEN '<' THEN value < bound ELSE value = bound END AS breach FROM samples JOIN rules USING (metric)),
+c AS (SELECT *, breach AND NOT lag(breach, 1, false) OVER w AS starts FROM b WINDOW w AS (PARTITION BY symbol, alert ORDER BY ts, seq)),
+d AS (SELECT *, sum(starts::INTEGER) OVER w AS run FROM c WINDOW w AS (PARTITION BY symbol, alert ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, min(ts) OVER (PARTITION BY symbol, alert, run) AS started_at FROM d WHERE run > 0)
+SELECT symbol, alert, severity, started_at, min(ts) FILTER (breach AND epoch_us(ts) - epoch_us(started_at) >= hold * 1e6) AS fired_at, min(ts) FILTER (NOT breach) AS resolved_at
+FROM e GROUP BY symbol, alert, severity, run, started_at HAVING fired_at IS NOT NULL"""))
+def alert_runs(spark, sf):
+    """All rules with their hold times, over series of every metric."""
+    return shaped(P.alert_runs(metric_samples(spark, sf), ["symbol"]))
+
+
 @query("e21_emergency_drawdown", sql("equity", f"""WITH d AS (SELECT strategy, ts, (max(value) OVER (PARTITION BY strategy ORDER BY ts) - value) / nullif(max(value) OVER (PARTITION BY strategy ORDER BY ts), 0) AS drawdown FROM equity)
 SELECT strategy, ts, {r('drawdown')} AS drawdown FROM d WHERE drawdown > 0.25"""))
 def emergency_drawdown(spark, sf):

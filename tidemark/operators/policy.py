@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.maths import clip, ratio
 from tidemark.functions.rules import is_high_volatility, is_trending
+from tidemark.plans.series import Series, over_rows, running
 
 # Strategy parameters by regime (entry, exit, position, sizing, kelly, urgency, holding minutes).
 PARAMETER_NAMES = ("entry_z", "exit_z", "max_position", "sizing", "kelly", "urgency", "holding")
@@ -122,17 +123,50 @@ ALERT_RULES = [
 ]
 
 
-def alert_rules(metrics: DataFrame) -> DataFrame:
-    """Long metrics (..., metric, value) against the rule table; one row per breached rule."""
+# Seconds for which a breach must last before its alert fires.
+ALERT_HOLDS = {
+    "TradingHalted": 0.0, "HighDrawdown": 60.0, "DailyLossLimit": 0.0, "HighConcentrationRisk": 300.0, "HighChangepointProbability": 120.0,
+    "ServiceDown": 30.0, "HighErrorRate": 120.0, "HighLatency": 120.0, "HighMemoryUsage": 300.0, "HighCPUUsage": 300.0, "StaleMarketData": 60.0,
+    "DataConnectionLost": 30.0, "LowMessageThroughput": 120.0, "HighKafkaLag": 60.0, "KafkaPartitionOffline": 0.0, "LowWinRate": 600.0,
+    "LowSharpeRatio": 900.0, "LowTradingVolume": 1800.0,
+}
+
+
+def _ruled(metrics: DataFrame) -> DataFrame:
+    """Metrics with the rules on them (a table of fixed size) and whether they breach the bound."""
     rules = metrics.sparkSession.createDataFrame(
-        ALERT_RULES, "alert string, metric string, comparison string, bound double, severity string"
+        [(*rule, ALERT_HOLDS[rule[0]]) for rule in ALERT_RULES], "alert string, metric string, comparison string, bound double, severity string, hold_s double"
     )
     hit = (
         F.when(F.col("comparison") == ">", F.col("value") > F.col("bound"))
         .when(F.col("comparison") == "<", F.col("value") < F.col("bound"))
         .otherwise(F.col("value") == F.col("bound"))
     )
-    return metrics.join(F.broadcast(rules), "metric").filter(hit)
+    return metrics.join(F.broadcast(rules), "metric").withColumn("breach", F.coalesce(hit, F.lit(False)))
+
+
+def alert_rules(metrics: DataFrame) -> DataFrame:
+    """Long metrics (..., metric, value) against the rule table; one row per breached rule."""
+    return _ruled(metrics).filter("breach").drop("hold_s", "breach")
+
+
+def alert_runs(samples: DataFrame, keys: list[str], ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """Alerts that fired: a run of breaching samples starts pending, fires at the first sample at least the rule's
+    hold time after its start, and is resolved by the next sample that does not breach (null while none came).
+
+    ``samples`` has ``keys``, ``metric``, ``value``, ``ts`` and ``tie`` (unique in a series of one metric). A null
+    value breaches nothing. Rows: ``keys``, alert, severity, started_at, fired_at, resolved_at.
+    """
+    s = Series((*keys, "alert"), (ts, tie))
+    d = _ruled(samples).select(*keys, "alert", "severity", "hold_s", ts, tie, "breach")
+    d = over_rows(d, s, lambda x, w: x.withColumn("_before", F.lag("breach", 1, False).over(w)), before=1)
+    # a run is named by the time and the tie of its first sample, and lasts in this sense until the next one starts
+    first = F.when(F.col("breach") & ~F.col("_before"), F.struct(ts, tie))
+    d = running(d, s, {"_run": ("last", first)}).filter("_run IS NOT NULL")
+    lasted = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"_run.{ts}"))) / F.lit(1e6)
+    runs = d.groupBy(*keys, "alert", "severity", "_run").agg(
+        F.min(F.when(F.col("breach") & (lasted >= F.col("hold_s")), F.col(ts))).alias("fired_at"), F.min(F.when(~F.col("breach"), F.col(ts))).alias("resolved_at"))
+    return runs.filter("fired_at IS NOT NULL").select(*keys, "alert", "severity", F.col(f"_run.{ts}").alias("started_at"), "fired_at", "resolved_at")
 
 
 def order_risk_checks(
