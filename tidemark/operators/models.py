@@ -83,7 +83,7 @@ def fit_regimes(df: DataFrame, features: Sequence[str], s: Series = BARS, k: int
     (calendar-bounded) series, expected counts summed over keys; only k-sized sums reach the driver."""
     cols = list(features)
     order = list(s.order)
-    data = df.select(*s.keys, *order, *cols).na.drop()
+    data = checkpointed(df.select(*s.keys, *order, *cols).na.drop())  # every round reads it
     n_rows = data.count()
     probs = {f"q{i}": (i + 0.5) / k for i in range(k)}
     row = exact_percentiles(data, [], cols[0], probs).first()
@@ -181,7 +181,7 @@ def predict_regimes(df: DataFrame, model: dict, s: Series = BARS) -> DataFrame:
 
 def kmeans_best_k(df: DataFrame, features: str = "features", max_k: int = 8) -> tuple[DataFrame, int, float]:
     """K-means labels for the k in 2..max_k with the best silhouette."""
-    cached = df.persist()
+    cached = checkpointed(df)
     judge = ClusteringEvaluator(featuresCol=features, predictionCol="label")
     best = None
     for k in range(2, max_k + 1):
