@@ -15,6 +15,7 @@ from tidemark.operators import models as M
 from tidemark.operators import rolling as R
 from tidemark.operators.aggregates import correlation_matrix
 from tidemark.plans.series import BARS, TICKS, Series
+from tidemark.session import checkpointed
 from tidemark.sources import views as V
 
 COLS = ["open", "high", "low", "close", "volume"]
@@ -122,14 +123,20 @@ def dbscan(spark, sf):
     return M.dbscan(d, ["x", "y"], "id", eps=0.15, least=4)
 
 
+@query("m07b_spectral_points")
+def spectral_points(spark, sf):
+    return M.spectral_points(_vectors(spark, sf).withColumn("id", F.substring("symbol", 2, 12).cast("long")), ["x", "y"], "id", 3)
+
+
 @query("m09_consensus_clusters")
 def consensus_clusters(spark, sf):
-    v = _vectors(spark, sf).withColumn("id", F.substring("symbol", 2, 12).cast("long"))
-    km, _, _ = M.kmeans_best_k(v, max_k=8)
-    db = M.dbscan(v, ["x", "y"], "id", eps=0.15, least=4)
-    bands = v.select("id", F.floor("x").cast("long").alias("band"))
-    labels = km.select("id", F.col("label").cast("long").alias("km")).join(db.withColumnRenamed("label", "db"), "id").join(bands, "id")
-    return M.consensus_clusters(labels, ["km", "db", "band"], "id", 3)
+    """K-means, spectral and density labels of the same points; k is that of the best silhouette throughout."""
+    v = checkpointed(_vectors(spark, sf).withColumn("id", F.substring("symbol", 2, 12).cast("long")))
+    km, k, _ = M.kmeans_best_k(v, max_k=8)
+    db = M.dbscan(v, ["x", "y"], "id", eps=0.3, least=3)
+    sp = M.spectral_points(v, ["x", "y"], "id", k)
+    labels = km.select("id", F.col("label").cast("long").alias("km")).join(db.withColumnRenamed("label", "db"), "id").join(sp.withColumnRenamed("label", "sp"), "id")
+    return M.consensus_clusters(checkpointed(labels), ["km", "db", "sp"], "id", k)
 
 
 LAB = "(CASE WHEN close > 250000 THEN 2 WHEN close > 200000 THEN 1 ELSE 0 END)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +24,7 @@ from tidemark.operators.rolling import _windowed
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.plans.series import BARS, TICKS, Series, rows_before, running, with_position
 from tidemark.plans.sizing import broadcast_if_small
+from tidemark.plans.sums import summed
 from tidemark.session import checkpointed
 
 SEED = 42
@@ -200,6 +203,66 @@ def spectral_clusters(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
     return pic.assignClusters(edges).select("id", F.col("cluster").cast("long").alias("label"))
 
 
+def spectral_points(df: DataFrame, coords: Sequence[str], key: str, k: int, gamma: float = 1.0, landmarks: int = 256) -> DataFrame:
+    """Spectral clusters of points under the affinity exp(-gamma * distance^2): key, label; -1 for points with a null
+    or non-finite coordinate.
+
+    Nystroem form: the affinities to at most ``landmarks`` distinct points, those of the lowest hash, span the graph,
+    so no pairs of points are formed. One pass sums the degrees, one the matrix whose leading eigenvectors embed
+    every point, and k-means runs on the embedding. With no more distinct points than landmarks the graph is exact.
+    """
+    cols = list(coords)
+    usable = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)) for c in cols]
+    numbers = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    data = checkpointed(numbers.filter(reduce(and_, usable)))
+    marks = data.select(*cols).distinct().orderBy(F.xxhash64(*cols), *cols).limit(landmarks).collect()
+    if len(marks) <= 1 or k <= 1:
+        found = data.select(key).distinct().withColumn("label", F.lit(0).cast("long"))
+    else:
+        at = np.array([list(m) for m in marks], float)
+        values, vectors = np.linalg.eigh(_affinity(at, at, gamma))
+        kept = values > 1e-10 * values[-1]
+        spread = vectors[:, kept] / np.sqrt(values[kept])
+        rank = spread.shape[1]
+
+        def phi(pdf: pd.DataFrame) -> np.ndarray:
+            return _affinity(pdf[cols].to_numpy(float), at, gamma) @ spread
+
+        whole = summed(data, lambda pdf: phi(pdf).sum(0), rank)
+
+        def scaled(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            f = phi(pdf)
+            root = np.sqrt(np.maximum(f @ whole, 1e-9))[:, None]  # far from every landmark: hardly any degree
+            return f / root, root
+
+        def products(pdf: pd.DataFrame) -> np.ndarray:
+            f = scaled(pdf)[0]
+            return (f.T @ f).ravel()
+
+        values, vectors = np.linalg.eigh(summed(data, products, rank * rank).reshape(rank, rank))
+        top = min(k, rank)
+        leading = vectors[:, -top:] / np.sqrt(np.maximum(values[-top:], 1e-12)) * math.sqrt(max(whole @ whole, 1e-12))
+
+        def embed(batches):
+            for pdf in batches:
+                f, root = scaled(pdf)
+                out = pdf[[key]].copy()
+                out["_e"] = list(f @ leading / root)
+                yield out
+
+        kind = dict(df.dtypes)[key]
+        embedded = checkpointed(data.mapInPandas(embed, f"`{key}` {kind}, _e array<double>")).withColumn("_v", array_to_vector("_e"))
+        fit = KMeans(k=k, seed=SEED, initSteps=5, featuresCol="_v", predictionCol="label").fit(embedded)
+        found = fit.transform(embedded).groupBy(key).agg(F.min("label").cast("long").alias("label"))
+    rest = df.select(key).join(found.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return rest.select(key, F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+
+
+def _affinity(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+    return np.exp(-gamma * np.maximum(d2, 0))
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components by repeated minimum labels with pointer jumping; (node, label)."""
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -276,9 +339,10 @@ def dbscan(df: DataFrame, coords: Sequence[str], key: str, eps: float = 0.3, lea
 
 def consensus_clusters(labels: DataFrame, methods: Sequence[str], key: str, k: int) -> DataFrame:
     """Spectral clusters of the co-occurrence share over methods. Points with equal labels everywhere are
-    interchangeable, so the graph is built over distinct label combinations, weighted by their sizes."""
+    interchangeable, so the graph is built over distinct label combinations, weighted by their sizes. A combination
+    that agrees with no other in any method is a cluster of its own, numbered from k on."""
     combos = labels.groupBy(*methods).agg(F.count(F.lit(1)).alias("_size"), F.min(key).alias("_first"))
-    combos = with_position(combos.withColumn("_all", F.lit(0)), Series(("_all",), ("_first",), True), "_c").drop("_all")
+    combos = checkpointed(with_position(combos.withColumn("_all", F.lit(0)), Series(("_all",), ("_first",), True), "_c").drop("_all"))
     a = combos.select(F.col("_c").alias("src"), F.col("_size").alias("n1"), *[F.col(m).alias(f"{m}1") for m in methods])
     b = combos.select(F.col("_c").alias("dst"), F.col("_size").alias("n2"), *[F.col(m).alias(f"{m}2") for m in methods])
     out = None
@@ -287,9 +351,12 @@ def consensus_clusters(labels: DataFrame, methods: Sequence[str], key: str, k: i
         e = e.select("src", "dst", (F.col("n1") * F.col("n2") / float(len(methods))).alias("weight"))
         out = e if out is None else out.unionByName(e)
     edges = out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = checkpointed(edges)
+    placed = labels.join(combos.select("_c", *methods), [*methods])
+    if edges.isEmpty():
+        return placed.select(key, (F.col("_c") + k).cast("long").alias("label"))
     clusters = spectral_clusters(edges, k).withColumnRenamed("id", "_c")
-    placed = labels.join(combos.select("_c", *methods), [*methods]).join(clusters, "_c", "left")
-    return placed.select(key, F.coalesce("label", F.lit(-1)).alias("label"))
+    return placed.join(clusters, "_c", "left").select(key, F.coalesce("label", F.col("_c") + k).cast("long").alias("label"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
