@@ -235,6 +235,16 @@ def anomaly_rules(spark, sf):
     return shaped(FE.anomaly_rules(d, RULES), 5, "rule anomaly_type metric seq severity confidence magnitude")
 
 
+ENGINE_RULES = [*RULES, ("late_volume", "volume_spike", "view", "zscore", 2.5, 12), ("odd_signup", "performance_drop", "signup", "isolation_forest", 0.05, 1),
+                ("error_shift", "correlation_break", "error", "changepoint", 0.05, 48), ("error_range", "system_error", "error", "iqr", 1.0, 24), ("odd_click", "volume_spike", "click", "isolation_forest", 0.1, 1)]
+
+
+@query("m14b_all_methods")
+def anomaly_rules_all_methods(spark, sf):
+    d = V.channel_ticks(spark, sf).select(F.col("symbol").alias("metric"), "ts", "seq", F.col("price").alias("value"))
+    return shaped(FE.anomaly_rules(d, ENGINE_RULES), 5, "rule anomaly_type metric seq severity confidence magnitude")
+
+
 def _windows(spark, sf, size=36, stride=12):
     return R.stride_windows(G.prepared_bars(V.nation_bars(spark, sf)), size, stride)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.maths import clip
+from tidemark.functions.maths import clip, ratio
 from tidemark.functions.rules import severity
 from tidemark.operators import rolling as R
 from tidemark.plans.quantiles import exact_percentiles
@@ -89,22 +90,66 @@ DETECTION_RULES = [
 
 
 def anomaly_rules(series: DataFrame, rules=DETECTION_RULES, s: Series = Series(("metric",), ("ts", "seq"))) -> DataFrame:
-    """Run each rule on its metric's series (metric, ts, seq, value) and union the findings."""
-    from tidemark.operators.models import changepoint_anomalies
-
-    out = None
-    for rule, kind, metric, method, threshold, window in rules:
-        d = series.filter(F.col("metric") == metric)
-        if method == "zscore":
-            hit = R.zscore_anomaly(d, "value", window, threshold, s).withColumn("magnitude", F.abs("z_score"))
-        elif method == "iqr":
-            hit = R.iqr_anomaly(d, "value", window, threshold, s).withColumn("magnitude", F.col("distance"))
-        elif method == "threshold":
-            hit = R.threshold_anomaly(d, "value", threshold).withColumns({"magnitude": F.abs("value"), "confidence": F.lit(0.95)})
-        elif method == "changepoint":
-            hit = changepoint_anomalies(d, "value", s, threshold)
-        else:
-            raise ValueError(f"unknown method {method}")
-        part = hit.select(F.lit(rule).alias("rule"), F.lit(kind).alias("anomaly_type"), "metric", *s.order, "severity", "confidence", "magnitude")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Findings of every rule on its metric's series (metric, ts, seq, value), however many rules there are.
+
+    Rules are grouped by method and window: one scan over the series computes the frames of all z-score, IQR and
+    threshold rules and each row lists the rules it breaks; one segmentation serves all change-point rules, and one
+    set of forests, one per metric, all isolation-forest rules.
+    """
+    from tidemark.operators.models import changepoint_anomalies, isolation_scores, window_features
+
+    unknown = {r[3] for r in rules} - {"zscore", "iqr", "threshold", "changepoint", "isolation_forest"}
+    if unknown:
+        raise ValueError(f"unknown methods {sorted(unknown)}")
+    (name,) = s.keys
+    of = lambda *methods: [r for r in rules if r[3] in methods]
+    among = lambda some: F.col(name).isin(sorted({r[2] for r in some}))
+    x = F.col("value")
+
+    def listed(d: DataFrame, hits) -> DataFrame:
+        """One row per rule of ``hits`` (rule, condition, magnitude, confidence, what severity goes by) that holds."""
+        found = [F.when((F.col(name) == r[2]) & holds, F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("anomaly_type"), severity(by, r[4]).alias("severity"),
+                                                               confidence.cast("double").alias("confidence"), magnitude.cast("double").alias("magnitude"))) for r, holds, magnitude, confidence, by in hits]
+        d = d.withColumn("_hit", F.explode(F.filter(F.array(*found), lambda h: h.isNotNull())))
+        return d.select("_hit.rule", "_hit.anomaly_type", name, *s.order, "_hit.severity", "_hit.confidence", "_hit.magnitude")
+
+    parts = []
+    framed = of("zscore", "iqr", "threshold")
+    if framed:
+        def build(d: DataFrame, w) -> DataFrame:
+            out = {}
+            for n in sorted({r[5] for r in of("zscore")}):
+                past = w.rowsBetween(-(n - 1), -1)
+                out[f"_z{n}"] = F.when(F.count(x).over(past) >= n - 1, ratio(x - F.avg(x).over(past), F.stddev_pop(x).over(past)))
+            for n in sorted({r[5] for r in of("iqr")}):
+                v = F.when(among([r for r in of("iqr") if r[5] == n]), x)  # no quartiles where no rule asks for them
+                frame = w.rowsBetween(-(n - 1), 0)
+                full = F.count(v).over(frame) >= n
+                out |= {f"_{q}{n}": F.when(full, F.percentile(v, F.lit(p)).over(frame)) for q, p in (("lo", 0.25), ("hi", 0.75))}
+            return d.withColumns(out)
+
+        hits = []
+        for r in framed:
+            _, _, _, method, threshold, n = r
+            if method == "zscore":
+                z = F.abs(f"_z{n}")
+                hits.append((r, z >= threshold, z, F.least(F.lit(0.99), z / 5.0), f"_z{n}"))
+            elif method == "iqr":
+                lo, hi = F.col(f"_lo{n}"), F.col(f"_hi{n}")
+                width = hi - lo
+                beyond = F.when(x < lo - threshold * width, ratio(lo - threshold * width - x, width)).when(x > hi + threshold * width, ratio(x - hi - threshold * width, width))
+                hits.append((r, beyond.isNotNull(), beyond, F.least(F.lit(0.99), beyond / 3.0), beyond))
+            else:
+                hits.append((r, x <= threshold, F.abs(x), F.lit(0.95), x))
+        data = series.filter(among(framed)).select(name, *s.order, "value")
+        halo = max([r[5] - 1 for r in of("zscore", "iqr")], default=0)
+        parts.append(listed(R.over_rows(data, s, build, halo) if halo else data, hits))
+    if of("changepoint"):
+        moved = changepoint_anomalies(series.filter(among(of("changepoint"))), "value", s, 0.0).select(name, *s.order, F.col("magnitude").alias("_m"))
+        parts.append(listed(moved, [(r, F.col("_m") >= r[4], F.col("_m"), F.lit(0.8), F.col("_m")) for r in of("changepoint")]))
+    if of("isolation_forest"):
+        data = window_features(series.filter(among(of("isolation_forest"))).select(name, *s.order, "value"), "value", s)
+        scored = isolation_scores(data, ["value", "f_mean", "f_std", "f_min", "f_max"], [name, *s.order], group=name)
+        far = scored.filter("anomaly").select(name, *s.order, F.abs(F.col("score") - F.col("cut")).alias("_m"))
+        parts.append(listed(far, [(r, F.lit(True), F.col("_m"), F.least(F.lit(0.95), F.col("_m")), F.col("_m")) for r in of("isolation_forest")]))
+    return reduce(DataFrame.unionByName, parts)

@@ -436,55 +436,70 @@ def _expected_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(df: DataFrame, features: Sequence[str], key: str, trees: int = 100, sample: int = 256, contamination: float = 0.1) -> DataFrame:
+def isolation_scores(df: DataFrame, features: Sequence[str], key: str | Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, group: str | None = None) -> DataFrame:
     """Isolation-forest scores of every row and whether they lie in the top ``contamination`` share.
 
     A hash of row and tree draws each tree's sample; trees grow in parallel from at most ``sample`` rows
-    and come to the driver as at most ``trees * 2 * sample`` nodes. Scoring is a scan.
+    and come to the driver as at most ``trees * 2 * sample`` nodes. Scoring is a scan. With ``group`` every value of
+    that column, one of the keys, has a forest and a ``cut`` of its own; meant for a few named series.
     """
-    cols = list(features)
-    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    n = max(1, data.count())
-    share = min(1.0, 2.0 * sample / n)
-    draw = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
-    ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
-    drawn = data.withColumn("_tree", F.explode(ids)).withColumn("_h", F.xxhash64(F.col(key), F.col("_tree"), F.lit(SEED + 1)))
-    picked = top_per_key(drawn, ["_tree"], [F.col("_h").asc(), F.col(key).asc()], sample)
-    limit = math.ceil(math.log2(max(2, min(sample, n))))
+    cols, keys = list(features), [key] if isinstance(key, str) else list(key)
+    data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols + ([group] if group else keys))
+    sizes = {r[0]: r["count"] for r in data.groupBy(group or F.lit("")).count().collect()}
+    share = {g: min(1.0, 2.0 * sample / n) for g, n in sizes.items()}
+    drawn_share = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])[F.col(group)] if group and share else F.lit(share.get("", 1.0))
+    draw = lambda t: F.pmod(F.xxhash64(*keys, t, F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
+    ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < drawn_share)
+    drawn = data.withColumn("_tree", F.explode(ids)).withColumn("_h", F.xxhash64(*keys, F.col("_tree"), F.lit(SEED + 1)))
+    per = ["_tree", group] if group else ["_tree"]
+    picked = top_per_key(drawn, per, [F.col("_h").asc(), *[F.col(k).asc() for k in keys]], sample)
+    limits = {g: math.ceil(math.log2(max(2, min(sample, n)))) for g, n in sizes.items()}
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["_tree"].iloc[0])
+        t, g = int(pdf["_tree"].iloc[0]), pdf[group].iloc[0] if group else ""
         x = pdf.sort_values("_h")[cols].to_numpy(float)
-        nodes = _grow(x, np.random.default_rng([SEED, t]), limit)
-        return pd.DataFrame({"tree": [t], "size": [len(x)], "nodes": [[v for row in nodes for v in row]]})
-
-    rows = picked.groupBy("_tree").applyInPandas(grow, "tree int, size int, nodes array<double>").orderBy("tree").collect()
-    forest = [(np.array(r["nodes"]).reshape(-1, 5), r["size"]) for r in rows]
-    norm = float(np.mean([_expected_depth(np.array([size]))[0] for _, size in forest])) or 1.0
+        nodes = _grow(x, np.random.default_rng([SEED, t]), limits[g])
+        return pd.DataFrame({"grp": [g], "tree": [t], "size": [len(x)], "nodes": [[v for row in nodes for v in row]]})
+
+    types = dict(df.dtypes)
+    rows = picked.groupBy(*per).applyInPandas(grow, f"grp {types[group] if group else 'string'}, tree int, size int, nodes array<double>").orderBy("grp", "tree").collect()
+    forests: dict = {}
+    for r in rows:
+        forests.setdefault(r["grp"], []).append((np.array(r["nodes"]).reshape(-1, 5), r["size"]))
+    norms = {g: float(np.mean([_expected_depth(np.array([size]))[0] for _, size in forest])) or 1.0 for g, forest in forests.items()}
+
+    def depths(x: np.ndarray, forest: list) -> np.ndarray:
+        total = np.zeros(len(x))
+        for nodes, _ in forest:
+            at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
+            live = nodes[at, 0] >= 0
+            while live.any():
+                i = np.flatnonzero(live)
+                here = nodes[at[i]]
+                left = x[i, here[:, 0].astype(int)] < here[:, 1]
+                at[i] = np.where(left, here[:, 2], here[:, 3]).astype(int)
+                depth[i] += 1
+                live[i] = nodes[at[i], 0] >= 0
+            total += depth + _expected_depth(nodes[at, 4])
+        return total / len(forest)
 
     def score(batches):
         for pdf in batches:
-            x = pdf[cols].to_numpy(float)
-            total = np.zeros(len(x))
-            for nodes, _ in forest:
-                at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-                live = nodes[at, 0] >= 0
-                while live.any():
-                    i = np.flatnonzero(live)
-                    here = nodes[at[i]]
-                    left = x[i, here[:, 0].astype(int)] < here[:, 1]
-                    at[i] = np.where(left, here[:, 2], here[:, 3]).astype(int)
-                    depth[i] += 1
-                    live[i] = nodes[at[i], 0] >= 0
-                total += depth + _expected_depth(nodes[at, 4])
-            out = pdf[[key]].copy()
-            out["score"] = 2.0 ** (-(total / len(forest)) / norm)
+            out = pdf[keys].copy()
+            out["score"] = np.nan
+            for g in pdf[group].unique() if group else [""]:
+                rows = (pdf[group] == g).to_numpy() if group else np.ones(len(pdf), bool)
+                if rows.any():
+                    out.loc[rows, "score"] = 2.0 ** (-depths(pdf.loc[rows, cols].to_numpy(float), forests[g]) / norms[g])
             yield out
 
-    kind = dict(df.dtypes)[key]
-    scored = data.mapInPandas(score, f"`{key}` {kind}, score double")
-    cut = exact_percentiles(scored, [], "score", {"_cut": 1.0 - contamination})
-    return scored.crossJoin(F.broadcast(cut)).withColumn("anomaly", F.col("score") > F.col("_cut")).drop("_cut")
+    scored = data.mapInPandas(score, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double")
+    if not group:
+        cut = exact_percentiles(scored, [], "score", {"_cut": 1.0 - contamination})
+        return scored.crossJoin(F.broadcast(cut)).withColumn("anomaly", F.col("score") > F.col("_cut")).drop("_cut")
+    scored = checkpointed(scored)
+    cut = exact_percentiles(scored, [group], "score", {"cut": 1.0 - contamination})
+    return scored.join(broadcast_if_small(cut), group).withColumn("anomaly", F.col("score") > F.col("cut"))
 
 
 def window_features(df: DataFrame, value: str, s: Series = TICKS) -> DataFrame:
