@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.bpe import ranks_of
 from tidemark.llm.common import shared_file, text_batches, text_of, written
+from tidemark.plans.sizing import broadcast_if_small
 
 LEAST = 16
 #: An equals sign only pads the end, so the name in ``name=value`` is no part of the candidate.
@@ -27,7 +28,7 @@ RUN = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}={{0,2}}"
 BESIDE = 48
 #: Bound of the labelled findings that the forest is fitted on, taken by hash.
 FINDINGS = 20_000
-#: Fewer findings of a label than this teach nothing.
+#: Fewer findings of a label than this teach nothing; the rule that labels them then decides itself.
 ENOUGH = 10
 TREES = 40
 DEPTH = 6
@@ -62,7 +63,7 @@ def covered(value: str, words: set[str]) -> float:
 def described(text: str, start: int, end: int, words: set[str]) -> list[float]:
     value, before, after = text[start:end], text[max(0, start - BESIDE) : start], text[end : end + BESIDE]
     counts = Counter(value)
-    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in value[:4096]]
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in value]
     steps = Counter(zip(kinds, kinds[1:]))
     near = re.findall(r"[A-Za-z_]+", before.lower())[-3:]
     values = [
@@ -111,13 +112,17 @@ def feature(name: str):
     return F.get("x", F.lit(COLUMNS.index(name)))
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Candidates with ``label`` from what is certain: assigned to a name of a secret, or a provider's prefix, and of
-    high entropy (1); words, parts of paths and addresses, numbers (0). Others are left out."""
+def sure():
+    """Certain to be a secret: assigned to a name of one, or with a provider's prefix, and of high entropy."""
     strong = (feature("entropy") > 3.0) & (feature("digits") > 0) & (feature("digits") < 1)
-    sure = strong & (((feature("named") > 0) & (feature("assigned") > 0)) | (feature("prefixed") > 0))
+    return strong & (((feature("named") > 0) & (feature("assigned") > 0)) | (feature("prefixed") > 0))
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Candidates with ``label`` from what is certain: those of ``sure`` (1); words, parts of paths and addresses,
+    numbers (0). Others are left out."""
     idle = (feature("digits") == 1) | ((feature("digits") == 0) & (feature("classes") <= 2)) | (feature("address") > 0) | (feature("cover") > 0.8)
-    return found.withColumn("label", F.when(sure, 1.0).when(idle, 0.0)).where("label is not null")
+    return found.withColumn("label", F.when(sure(), 1.0).when(idle, 0.0)).where("label is not null")
 
 
 def train(findings: DataFrame, most: int = FINDINGS, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -143,10 +148,9 @@ def assembled(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """``found`` with ``score`` and ``secret``; without a model only named and assigned candidates are secrets."""
+    """``found`` with ``score`` and ``secret``; without a model the candidates of ``sure`` are secrets."""
     if model is None:
-        sure = (feature("named") > 0) & (feature("assigned") > 0) & (feature("digits") > 0)
-        return found.withColumn("score", sure.cast("double")).withColumn("secret", sure)
+        return found.withColumn("score", sure().cast("double")).withColumn("secret", sure())
     out = model.setProbabilityCol("p").setRawPredictionCol("raw").setPredictionCol("best").transform(assembled(found))
     return out.withColumn("score", F.get(vector_to_array("p"), F.lit(1))).withColumn("secret", F.col("score") >= 0.5).drop("p", "raw", "best", "vector")
 
@@ -164,16 +168,21 @@ def scan(docs: DataFrame, ranks_path: str, findings: DataFrame | None = None, ke
 
 
 def redacted(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", mark: str = "<secret>", size: str | None = "n_chars") -> DataFrame:
-    """``docs`` with the value of every secret replaced by ``mark`` in every text; texts without one stay as they are.
+    """``docs`` with the span of every secret replaced by ``mark`` in every text; all else stays as it is.
 
-    The column ``size`` follows where there is one. Values are collected per key, so a row without a key is scanned
-    but only mended where other rows without a key hold the same value.
+    Only the spans that the scan calls secrets go: the same characters elsewhere, in an address for instance, are
+    judged by their own place. Rows are told apart by the digests of key and text, so rows without a key and rows that
+    repeat one are mended too. The column ``size`` follows where there is one.
     """
-    secrets = scan(docs, ranks_path, None, key, text).where("secret").select(F.col(key).alias("_k"), "value").distinct()
-    values = secrets.groupBy("_k").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_v"))
-    whole = F.aggregate("_v", F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))
-    joined = docs.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
-    out = joined.withColumn(text, F.when(F.col("_v").isNull(), F.col(text)).otherwise(whole))
+    digest = F.concat(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"), 256), F.sha2(text_of(text).cast("binary"), 256))
+    found = scan(docs.select(digest.alias("_row"), F.col(text).alias("_text")), ranks_path, None, "_row", "_text")
+    spans = found.where("secret").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans = broadcast_if_small(written(spans))
+    own = [F.col(c) for c in docs.columns]
+    joined = docs.withColumn("_at", digest).join(spans, F.col("_at") == F.col("_row"), "left")
+    ends = F.concat(F.array(F.lit(0)), F.col("_spans.end"))
+    between = F.zip_with(ends, F.concat(F.col("_spans.start"), F.array(F.length(text))), lambda a, b: F.col(text).substr(a + 1, b - a))
+    out = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(between, mark)))
     if size in docs.columns:
-        out = out.withColumn(size, F.when(F.col("_v").isNull(), F.col(size)).otherwise(F.length(text).cast(docs.schema[size].dataType)))
-    return out.select(*[F.col(c) for c in docs.columns])
+        out = out.withColumn(size, F.when(F.col("_spans").isNull(), F.col(size)).otherwise(F.length(text).cast(docs.schema[size].dataType)))
+    return out.select(*own)
