@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+
 from tidemark.llm import quality
 from tidemark.llm.queries import op6_quality
 
@@ -28,6 +30,48 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, sf):
     assert a == quality.classify(docs, turned).orderBy("doc_id").collect()
 
 
+def test_features_do_not_depend_on_the_block():
+    classes = quality.byte_classes()
+    texts = [b"", b" ", b"word", b"the the the cat\nsat sat\n\n on\tthe mat" * 7, "na\u00efve caf\u00e9 \U0001f600 ".encode() * 9, b"x" * 50, b"a\n" * 40 + b" a"]
+    for t in texts:
+        whole = quality.features(t, classes)
+        words, rows = t.split(), t.split(b"\n") if t else []
+        assert whole[-6] == len(set(words)) / max(1, len(words)) and whole[-3] == len(set(rows)) / max(1, len(rows))
+        assert whole[-5] == sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+        for block in (1, 2, 7, 64):
+            assert np.array_equal(whole, quality.features(t, classes, block))
+
+
+def test_risk_slope_and_curvature_against_differences():
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(40, 3)), rng.normal(size=4)
+    loss = lambda v: np.sum(np.log1p(np.exp(np.c_[x, np.ones(40)] @ v)))
+    got, e = quality.unlabelled_terms(x, w), np.eye(4) * 1e-4
+    assert np.isclose(got[0], loss(w))
+    assert np.allclose(got[1:5], [(loss(w + d) - loss(w - d)) / 2e-4 for d in e], atol=1e-5)
+    want = [[(loss(w + a + b) - loss(w + a - b) - loss(w - a + b) + loss(w - a - b)) / 4e-8 for b in e] for a in e]
+    assert np.allclose(got[5:].reshape(4, 4), want, atol=1e-3)
+
+
+def test_fit_reaches_a_lower_risk_than_plain_descent_and_stays_non_negative():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0.8, 1, (4000, 2)), rng.normal(-0.8, 1, (1500, 2))
+    p, u, prior = good[:1500], np.r_[good[1500:], bad], 2500 / 4000
+
+    def risk(v):
+        s, t = np.c_[p, np.ones(len(p))] @ v, np.c_[u, np.ones(len(u))] @ v
+        rest = np.mean(np.logaddexp(0, t)) - prior * np.mean(np.logaddexp(0, s))
+        return prior * np.mean(np.logaddexp(0, -s)) + rest + quality.RIDGE / len(p) * (v[:-1] @ v[:-1]) / 2, rest
+
+    w, b = quality.non_negative_fit(p, lambda v: quality.unlabelled_terms(u, v), len(u), prior)
+    v = np.zeros(3)
+    for _ in range(3000):
+        e = np.eye(3) * 1e-5
+        v = v - 0.3 * np.array([(risk(v + d)[0] - risk(v - d)[0]) / 2e-5 for d in e])
+    assert risk(np.r_[w, b])[0] <= risk(v)[0] + 1e-6 and risk(np.r_[w, b])[1] >= 0
+    assert np.mean((u @ w + b > 0) == (np.arange(4000) < 2500)) > 0.8
+
+
 def test_odd_rows(spark):
     long = "a fine sentence of words. " * 60_000
     rows = [(k, "Plain words in a row, and more of them.", 1) for k in range(30)] + [(None, None, 1), (40, "", 2), (41, long, 2), (41, long, 2)]
