@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.maths import ratio
 from tidemark.operators import states as S
 from tidemark.operators.rolling import true_range
+from tidemark.plans.filters import kalman_scan
 from tidemark.plans.folds import fold
 from tidemark.plans.scans import affine_scan
 from tidemark.plans.series import BARS, TICKS, Series, over_rows, rows_before, with_position
@@ -82,7 +83,8 @@ def atr_wilder(df: DataFrame, n: int = 14, s: Series = BARS) -> DataFrame:
 
 
 def kalman_hedge_ratio(df: DataFrame, value: str, s: Series, keep: list[str], **params) -> DataFrame:
-    return _run(df, s, keep, S.kalman_step(value, keep, **params), S.KALMAN_SCHEMA, [value])
+    """Level-and-velocity filter of a price ratio; long keys run as a parallel scan."""
+    return kalman_scan(df, s, value, keep, **params)
 
 
 def bocd(df: DataFrame, value: str, s: Series, keep: list[str], **params) -> DataFrame:
