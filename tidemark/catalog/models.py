@@ -14,6 +14,7 @@ from tidemark.operators import graph as G
 from tidemark.operators import models as M
 from tidemark.operators import rolling as R
 from tidemark.operators.aggregates import correlation_matrix
+from tidemark.operators.pairs import correlated_pairs
 from tidemark.plans.series import BARS, TICKS, Series
 from tidemark.session import checkpointed
 from tidemark.sources import views as V
@@ -297,7 +298,7 @@ g AS (SELECT p.a, p.b, label, corr, arg_max(abs(u.p - v.p), u.ts) AS spread, avg
 z AS (SELECT *, (spread - mean) / std AS z FROM g) SELECT a, b, label::BIGINT AS label, {rs('corr spread z', 5)}, {r('abs(z) * std', 5)} AS expected_return FROM z WHERE abs(z) >= 0.5"""))
 def intra_cluster_pairs(spark, sf):
     b = V.nation_bars(spark, sf)
-    d = G.intra_cluster_pairs(b, _nation_labels(spark, sf), correlation_matrix(b), 0.0, 0.5)
+    d = G.intra_cluster_pairs(b, _nation_labels(spark, sf), correlated_pairs(b, at_least=0.0), 0.0, 0.5)
     return shaped(d, 5, "a b label corr spread z expected_return")
 
 
@@ -307,7 +308,7 @@ m AS (SELECT symbol, max(close) FILTER (k = 1) / max(close) FILTER (k = 10) - 1
 SELECT a, b, {r('corr', 5)} AS corr, {r('abs(x.m - y.m)', 5)} AS divergence, {r('abs(x.m - y.m) * 0.5', 5)} AS expected_return FROM corrs JOIN r x ON a = x.symbol JOIN r y ON b = y.symbol WHERE x.label <> y.label AND corr <= 0.1 AND abs(x.m - y.m) >= 0.01"""))
 def cross_cluster_pairs(spark, sf):
     b = V.nation_bars(spark, sf)
-    d = G.cross_cluster_pairs(b, _nation_labels(spark, sf), correlation_matrix(b), 0.1, 0.01)
+    d = G.cross_cluster_pairs(b, _nation_labels(spark, sf), correlated_pairs(b, at_most=0.1), 0.1, 0.01)
     return shaped(d, 5, "a b corr divergence expected_return")
 
 

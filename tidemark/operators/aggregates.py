@@ -194,7 +194,7 @@ def correlation_matrix(df: DataFrame, value: str = "close", ts: str = "ts", leas
     a = df.select(*keys, F.col("symbol").alias("a"), F.col(value).alias("_x"))
     b = df.select(*keys, F.col("symbol").alias("b"), F.col(value).alias("_y"))
     pairs = a.join(b, keys).filter(F.col("a") < F.col("b"))
-    d = pairs.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("_c"))
+    d = pairs.groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_c"))
     return d.filter(F.col("n") >= least).withColumn("corr", F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0))).drop("_c")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.maths import ratio
 from tidemark.operators import rolling as R
-from tidemark.operators.aggregates import correlation_matrix
 from tidemark.operators.features import apply_scale, fit_scale
+from tidemark.operators.pairs import correlated_pairs
 from tidemark.operators.ranking import latest_per_key, top_edges
 from tidemark.plans.series import BARS, Series
 from tidemark.plans.sizing import broadcast_if_small
@@ -50,7 +50,7 @@ def graph_nodes(windows: DataFrame, scaled: bool = True) -> DataFrame:
 
 def graph_edges(windows: DataFrame, value: str = "ret", threshold: float = 0.3, max_edges: int = 200) -> DataFrame:
     """Edges of each window between symbols whose correlation passes the threshold, both directions."""
-    corr = correlation_matrix(windows.filter(F.col(value).isNotNull()), value, group=["window_id"])
+    corr = correlated_pairs(windows, value, group=["window_id"], strongest=max_edges)
     return top_edges(corr.select("window_id", "a", "b", F.col("corr").alias("weight")), ["window_id"], threshold, max_edges)
 
 
