@@ -48,3 +48,16 @@ def test_missing_values_and_empty_tables(spark, layout):
 
 def test_the_covariance_settles():
     assert len(gains(10**6, 1e-5, 1e-3, 1.0)) < 5_000
+
+
+def test_a_hot_key_of_many_blocks(spark):
+    """100,000 rows, most of one key, in blocks of 4,096."""
+    pdf = rows_of(100_000)
+    spark.conf.set("tidemark.layout", "split")
+    spark.conf.set("tidemark.block.rows", "4096")
+    try:
+        got = kalman_hedge_ratio(spark.createDataFrame(pdf), "z", S, ["symbol", "seq"]).toPandas().sort_values("seq", ignore_index=True)
+    finally:
+        spark.conf.unset("tidemark.layout")
+        spark.conf.unset("tidemark.block.rows")
+    assert np.allclose(got[list(OUT)], sequential(pdf)[list(OUT)], rtol=1e-8, atol=1e-10)

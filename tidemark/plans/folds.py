@@ -6,7 +6,8 @@ left by the rows before (None at the start). States are small picklable values.
 Small or calendar-bounded keys run as one group each. Larger keys are cut into blocks of consecutive
 rows. Every block first runs from the start state; then blocks whose true start (the end of the block
 before) differs from the one they used run again, in parallel, until none is left. State machines forget
-quickly, so this takes a couple of rounds; the result is always that of the sequential fold.
+quickly, so this takes a couple of rounds. States that agree to 13 significant digits count as the same, so discrete
+states are those of the sequential fold, and real ones differ from it by no more than such a difference does.
 """
 
 from __future__ import annotations
