@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from tidemark.plans.series import Series, with_blocks
 
 GARCH_SCHEMA = "mu double, omega double, alpha double, beta double, variance double, volatility double, band double, aic double, bic double, n_fit bigint, converged boolean"
+# rows of a block: some two hundred refits at the default step
+BLOCK_ROWS = 2048
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, step: float = 0.25, rounds: int = 1000, tol: float = 1e-9) -> tuple[np.ndarray, bool]:
@@ -81,10 +83,11 @@ def rolling_garch(df: DataFrame, value: str, s: Series, keep: list[str], window:
     """Forecasts of the volatility of 100 * percent change of ``value``: the model is refitted on the last
     ``window`` rows from row ``least`` on, every ``every`` rows, and its forecast holds until the next fit.
 
-    Blocks carry a halo of one window plus one refit step, so no fit needs rows of another block.
+    Blocks carry a halo of one window plus one refit step, so no fit needs rows of another block, and hold so few
+    rows that the refits of one key spread over many tasks.
     """
     columns = list(dict.fromkeys([*s.keys, *s.order, *keep, value]))
-    blocks = with_blocks(df.select(*columns), s, before=window + every)
+    blocks = with_blocks(df.select(*columns), s, before=window + every, most=BLOCK_ROWS)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + GARCH_SCHEMA
 
@@ -94,7 +97,8 @@ def rolling_garch(df: DataFrame, value: str, s: Series, keep: list[str], window:
         own = ~pdf["_halo"].to_numpy(bool)
         out = np.full((len(pdf), 11), np.nan)
         fitted = None
-        first_own = int(np.argmax(own))
+        # a block of halo rows alone, behind the last row of a key, fits nothing
+        first_own = int(np.argmax(own)) if own.any() else len(pdf) + every
         for i in range(len(pdf)):
             due = pos[i] >= least and (pos[i] - least) % every == 0
             if due and i + every >= first_own:  # fits that can still hold inside the block

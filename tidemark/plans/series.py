@@ -108,10 +108,12 @@ def with_position(df: DataFrame, s: Series, name: str = "pos") -> DataFrame:
     )
 
 
-def with_blocks(df: DataFrame, s: Series, before: int = 0, after: int = 0) -> DataFrame:
+def with_blocks(df: DataFrame, s: Series, before: int = 0, after: int = 0, most: int | None = None) -> DataFrame:
     """Add ``pos``, ``_blk`` and ``_halo``: blocks of consecutive positions, each with copies of the
-    ``before`` rows ahead of it and the ``after`` rows behind it."""
-    rows = max(_conf_int(df, "tidemark.block.rows", DEFAULT_BLOCK_ROWS), 4 * (before + after), 1)
+    ``before`` rows ahead of it and the ``after`` rows behind it. Blocks have ``most`` rows at most, where given, for
+    work that is heavy per row, but four times the halo at least."""
+    rows = _conf_int(df, "tidemark.block.rows", DEFAULT_BLOCK_ROWS)
+    rows = max(rows if most is None else min(rows, most), 4 * (before + after), 1)
     placed = with_position(df, s, "_pos").withColumn("_own", F.expr(f"(_pos - 1) div {rows}"))
     offset = F.expr(f"(_pos - 1) % {rows}")
     homes = F.array_compact(
