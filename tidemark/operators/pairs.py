@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.plans.sizing import settled
+
 # symbols of a block, and numbers of a block at most (longer series make narrower blocks)
 BLOCK = 256
 NUMBERS = 1 << 21
@@ -58,11 +60,10 @@ def correlated_pairs(df: DataFrame, value: str = "close", ts: str = "ts", group:
     rows = df.dropna(subset=[*group, "symbol", ts, value])
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     vectors = rows.groupBy(*group, "symbol").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(value).cast("double").alias("x")))).alias("_v"))
-    vectors = vectors.select(*group, "symbol", F.col("_v.t").alias("_ts"), F.col("_v.x").alias("_xs"))
-    # counted from the rows, so that vectors are not built twice
-    lengths = rows.groupBy(*group, "symbol").agg(F.count(F.lit(1)).alias("_n"))
-    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(NUMBERS) / F.max("_n"))))
-    sizes = lengths.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("_blocks"))
+    # settled, as their number decides on the blocks before they are read again
+    vectors = settled(vectors.select(*group, "symbol", F.col("_v.t").alias("_ts"), F.col("_v.x").alias("_xs")))
+    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(NUMBERS) / F.max(F.size("_ts")))))
+    sizes = vectors.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias("_blocks"))
     placed = vectors.join(sizes, group) if group else vectors.crossJoin(F.broadcast(sizes))
     own, other = F.col("_own"), F.col("_other")
     cells = (
