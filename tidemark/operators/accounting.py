@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.maths import ratio
 from tidemark.plans.scans import affine_scan
-from tidemark.plans.series import TICKS, Series, over_rows, running
+from tidemark.plans.series import TICKS, Series, by_key_size, over_rows, running
 from tidemark.plans.sizing import broadcast_if_small
 
 FLAT = 1e-8
@@ -22,6 +24,10 @@ def average_cost_positions(fills: DataFrame, s: Series = TICKS) -> DataFrame:
     The quantity is a running sum. Given it, the average cost is a linear recursion: adding blends the
     price in, reducing keeps the cost, opening or flipping restarts at the fill price.
     """
+    return by_key_size(fills, s, _average_cost_positions)
+
+
+def _average_cost_positions(fills: DataFrame, s: Series) -> DataFrame:
     d = running(fills.withColumn("_q", signed_quantity()), s, {"position": ("sum", F.col("_q"))})
     before = F.col("position") - F.col("_q")
     opened = F.abs(before) < FLAT
@@ -50,6 +56,10 @@ def average_cost_positions(fills: DataFrame, s: Series = TICKS) -> DataFrame:
 
 def portfolio_value(fills: DataFrame, s: Series = TICKS, capital: float = 1_000_000.0) -> DataFrame:
     """Cash, value, return and peak of each key's account, marked at the fill price: running sums only."""
+    return by_key_size(fills, s, lambda d, own: _portfolio_value(d, own, capital))
+
+
+def _portfolio_value(fills: DataFrame, s: Series, capital: float) -> DataFrame:
     q = signed_quantity()
     d = running(fills, s, {"position": ("sum", q), "_flow": ("sum", -q * F.col("price") - F.col("fee"))})
     d = d.withColumn("cash", F.lit(capital) + F.col("_flow")).drop("_flow")
@@ -62,12 +72,17 @@ def portfolio_value(fills: DataFrame, s: Series = TICKS, capital: float = 1_000_
 def daily_pnl(positions: DataFrame, s: Series = TICKS, capital: float = 1_000_000.0) -> DataFrame:
     """Per key and day from ``average_cost_positions``: realised, unrealised at the close, fees, start
     value, high and low water and the largest drawdown inside the day."""
+    return by_key_size(positions, s, lambda d, own: _daily_pnl(d, own, capital))
+
+
+def _daily_pnl(positions: DataFrame, s: Series, capital: float) -> DataFrame:
+    positions = positions.select(*s.keys, *s.order, "fee", "realized", "realized_total", "unrealized")
     day = F.to_date(s.order[0])
     at = F.struct(*[F.col(c) for c in s.order])
     d = running(positions, s, {"_fees": ("sum", F.col("fee"))})
     value = F.lit(capital) + F.col("realized_total") + F.col("unrealized") - F.col("_fees")
     d = d.withColumns({"day": day, "value": value})
-    inside = Series((*s.keys, "day"), s.order)
+    inside = replace(s, keys=(*s.keys, "day"))
     d = running(d, inside, {"_high": ("max", F.col("value"))})
     d = d.withColumn("_dd", ratio(F.col("_high") - F.col("value"), "_high"))
     out = d.groupBy(*s.keys, "day").agg(

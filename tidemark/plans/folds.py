@@ -43,8 +43,9 @@ def _digest(blob: bytes | None) -> str:
     return "" if blob is None else repr(_rounded(pickle.loads(blob)))
 
 
-def fold(df: DataFrame, s: Series, step: Step, schema: str) -> DataFrame:
-    """Apply ``step`` along each key; ``schema`` is the DDL of the rows it returns."""
+def fold(df: DataFrame, s: Series, step: Step, schema: str, rows: int | None = None) -> DataFrame:
+    """Apply ``step`` along each key; ``schema`` is the DDL of the rows it returns. ``rows`` bounds the blocks of a long
+    key, for steps that are heavy per row."""
     order = list(s.order)
     if s.bounded or is_small(df):
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,8 +53,8 @@ def fold(df: DataFrame, s: Series, step: Step, schema: str) -> DataFrame:
 
         return df.groupBy(*s.keys).applyInPandas(whole, schema)
 
-    blocks = with_blocks(df, s).drop("_own", "_halo")
-    if (blocks.agg(F.max("_blk")).first()[0] or 0) == 0:
+    blocks = with_blocks(df, s, most=rows).drop("_own", "_halo")
+    if not s.long and (blocks.agg(F.max("_blk")).first()[0] or 0) == 0:
         def single(pdf: pd.DataFrame) -> pd.DataFrame:
             return step(pdf.sort_values("_pos", ignore_index=True), None)[0]
 

@@ -104,7 +104,7 @@ def first_touch(
     sign = 1.0 if below else -1.0
     keys = list(s.keys)
     data = series.select(*keys, *s.order, (F.col(value) * sign).alias("_v"))
-    if is_small(queries) and is_small(series):
+    if s.bounded or is_small(queries) and is_small(series):
         asked = queries.select(*keys, F.col(ts).alias("_t"), F.col(qid).alias("_qid"), (F.col(limit) * sign).alias("_lim"))
 
         def touch(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +165,7 @@ def interval_extremes(queries: DataFrame, series: DataFrame, s: Series, qid: str
     keys = list(s.keys)
     ts, tie = s.order
     data = series.select(*keys, ts, tie, F.col(value).alias("_v"))
-    if is_small(queries) and is_small(series):
+    if s.bounded or is_small(queries) and is_small(series):
         asked = queries.select(*keys, F.col(qid).alias("_qid"), F.col(start).alias("_t0"), F.col(end).alias("_t1"))
 
         def extremes_of(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
