@@ -11,7 +11,7 @@ from tidemark.operators import accounting as K
 from tidemark.operators import garch as G
 from tidemark.operators import recursive as Q
 from tidemark.operators import rolling as R
-from tidemark.plans.series import BARS, TICKS, Series
+from tidemark.plans.series import BARS, TICKS, Series, by_key_size
 from tidemark.plans.sizing import broadcast_if_small
 from tidemark.sources import views as V
 
@@ -27,7 +27,7 @@ def chain(name: str, a: float, x: str, src: str) -> str:
 
 @query("st00_ewm", sql("ticks", f"WITH RECURSIVE {NUM}, {chain('e', 2 / 11, 'price', 'o')} SELECT o.symbol, o.seq, {r('v')} AS ema FROM o JOIN e USING (symbol, k)"))
 def ewm(spark, sf):
-    return shaped(Q.ewm(V.ticks(spark, sf), "price", "ema", span=10), columns="symbol seq ema")
+    return shaped(Q.ewm(V.ticks(spark, sf).select("symbol", "ts", "seq", "price"), "price", "ema", span=10), columns="symbol seq ema")
 
 
 WILDER = """d AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY k) AS d FROM o),
@@ -38,14 +38,14 @@ wr AS (SELECT o.symbol, o.k, au, ad FROM seed JOIN o ON o.symbol = seed.symbol A
 
 @query("w08_rsi_wilder", sql("ticks", f"WITH RECURSIVE {NUM}, {WILDER} SELECT o.symbol, o.seq, {r('CASE WHEN au IS NULL THEN 50 WHEN ad = 0 THEN 100 ELSE 100 - 100 / (1 + au / ad) END')} AS rsi FROM o LEFT JOIN wr USING (symbol, k)"))
 def rsi_wilder(spark, sf):
-    return shaped(Q.rsi_wilder(V.ticks(spark, sf), "price"), columns="symbol seq rsi")
+    return shaped(Q.rsi_wilder(V.ticks(spark, sf).select("symbol", "ts", "seq", "price"), "price"), columns="symbol seq rsi")
 
 
 @query("w09_macd", sql("ticks", f"""WITH RECURSIVE {NUM}, {chain('f', 2 / 13, 'price', 'o')}, {chain('g', 2 / 27, 'price', 'o')},
 l AS (SELECT symbol, k, f.v - g.v AS line FROM f JOIN g USING (symbol, k)), {chain('h', 2 / 10, 'line', 'l')}
 SELECT o.symbol, o.seq, {r('line')} AS macd, {r('h.v')} AS macd_signal, {r('line - h.v')} AS macd_histogram FROM o JOIN l USING (symbol, k) JOIN h USING (symbol, k)"""))
 def macd(spark, sf):
-    return shaped(Q.macd(V.ticks(spark, sf), "price"), columns="symbol seq macd macd_signal macd_histogram")
+    return shaped(Q.macd(V.ticks(spark, sf).select("symbol", "ts", "seq", "price"), "price"), columns="symbol seq macd macd_signal macd_histogram")
 
 
 @query("w11b_atr_wilder", sql("bars", f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars),
@@ -132,7 +132,8 @@ def trade_lifecycle(spark, sf):
 
 @query("st06_average_cost_positions", sql("fills", f"WITH RECURSIVE {POSITIONS_SQL} SELECT symbol, seq, {r('position', 3)} AS position, {rs('realized realized_total unrealized', 2)}, {r('cost', 3)} AS average_cost FROM positions"))
 def average_cost_positions(spark, sf):
-    return shaped(K.average_cost_positions(V.fills(spark, sf)), 2, "symbol seq position realized realized_total unrealized average_cost", per={"position": 3, "average_cost": 3})
+    d = V.fills(spark, sf).select("symbol", "ts", "seq", "side", "quantity", "price")
+    return shaped(K.average_cost_positions(d), 2, "symbol seq position realized realized_total unrealized average_cost", per={"position": 3, "average_cost": 3})
 
 
 @query("st07_portfolio_value", sql("fills", f"""WITH a AS (SELECT *, CASE side WHEN 'buy' THEN quantity ELSE -quantity END AS q FROM fills),
@@ -140,7 +141,8 @@ b AS (SELECT *, sum(q) OVER w AS position, 1000000 + sum(-q * price - fee) OVER
 c AS (SELECT *, cash + position * price AS value FROM b), d AS (SELECT *, lag(value) OVER (PARTITION BY symbol ORDER BY ts, seq) AS p, max(value) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS peak FROM c)
 SELECT symbol, seq, {rs('cash value peak', 2)}, {r('CASE WHEN p > 0 THEN value / p - 1 END')} AS ret FROM d"""))
 def portfolio_value(spark, sf):
-    d = K.portfolio_value(V.fills(spark, sf)).withColumnRenamed("return", "ret")
+    d = V.fills(spark, sf).select("symbol", "ts", "seq", "side", "quantity", "price", "fee")
+    d = K.portfolio_value(d).withColumnRenamed("return", "ret")
     return shaped(d, 2, "symbol seq cash value peak ret", per={"ret": 6})
 
 
@@ -158,8 +160,8 @@ f AS (SELECT symbol, 0::BIGINT AS k, NULL::VARCHAR AS side, 'hold' AS signal, 0.
 
 @query("st08_threshold_signals", sql("ticks", f"WITH RECURSIVE {ADAPTIVE}, {SIDE} SELECT n.symbol, n.seq, signal, {r('strength')} AS strength, side FROM n JOIN f USING (symbol, k)"))
 def threshold_signals(spark, sf):
-    d = R.adaptive_thresholds(with_volatility(V.ticks(spark, sf)), "price", "vol")
-    return shaped(Q.threshold_signals(d, TICKS, ["symbol", "seq"]))
+    signals = lambda x, s: Q.threshold_signals(R.adaptive_thresholds(with_volatility(x, s), "price", "vol", s=s), s, ["symbol", "seq"])
+    return shaped(by_key_size(V.ticks(spark, sf).select("symbol", "ts", "seq", "price"), TICKS, signals))
 
 
 SPREAD = """z AS (SELECT *, CASE WHEN count(price) OVER w >= 2 THEN coalesce((price - avg(price) OVER w) / nullif(stddev_samp(price) OVER w, 0), 0) END AS z, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM ticks
@@ -177,12 +179,16 @@ graded AS (SELECT *, CASE WHEN abs(z) / threshold >= 2 THEN 'very_strong' WHEN a
  least(1, greatest(0, (CASE strength WHEN 'weak' THEN 0.3 WHEN 'medium' THEN 0.6 WHEN 'strong' THEN 0.8 ELSE 0.9 END + (1 / (1 + price / 50) + CASE channel WHEN 'error' THEN 0.6 WHEN 'signup' THEN 0.9 ELSE 0.8 END) / 2) / 2))
  * CASE channel WHEN 'error' THEN 0.8 WHEN 'signup' THEN 1.1 ELSE 1 END END""")} AS confidence FROM graded"""))
 def spread_signals(spark, sf):
-    d = R.spread_zscore(V.ticks(spark, sf), "price")
+    return by_key_size(V.ticks(spark, sf).drop("props"), TICKS, _spread_signals)
+
+
+def _spread_signals(ticks, s):
+    d = R.spread_zscore(ticks, "price", s=s)
     d = d.withColumns({
         "entry_long": F.lit(-1.0), "entry_short": F.lit(1.5), "exit": F.lit(0.5), "bid1": F.col("price") - 0.5, "ask1": F.col("price") + 0.5,
         "bid2": F.col("price") / 15 - 0.1, "ask2": F.col("price") / 15 + 0.1, "hedge_confidence": 1 / (1 + F.col("price") / 50),
         "vol_regime": F.when(F.col("channel") == "error", "high").when(F.col("channel") == "signup", "low").otherwise("normal")})
-    return shaped(Q.spread_signals(d, TICKS, ["symbol", "seq"]), columns="symbol seq signal side price1 price2 threshold strength confidence")
+    return shaped(Q.spread_signals(d, s, ["symbol", "seq"]), columns="symbol seq signal side price1 price2 threshold strength confidence")
 
 
 @query("st10_rolling_garch")
@@ -245,5 +251,6 @@ def order_risk_gate(spark, sf):
     kelly = fraction_of_pairs(spark, sf).select(F.col("pair").alias("account"), "kelly")
     f = V.fills(spark, sf)
     d = f.withColumns({"account": F.col("symbol"), "symbol": F.concat(F.lit("A"), (F.col("order_id") % 5).cast("string")), "quantity": F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))})
-    d = d.join(broadcast_if_small(kelly), "account", "left")
-    return shaped(Q.order_risk_gate(d, Series(("account",), ("ts", "seq")), ["account", "seq"], capital=1_000_000.0), 4)
+    d = d.select("account", "ts", "seq", "symbol", "quantity", "price")
+    gate = lambda x, s: Q.order_risk_gate(x.join(broadcast_if_small(kelly), "account", "left"), s, ["account", "seq"], capital=1_000_000.0)
+    return shaped(by_key_size(d, Series(("account",), ("ts", "seq")), gate), 4)
