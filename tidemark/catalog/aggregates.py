@@ -10,7 +10,7 @@ from tidemark.operators import accounting as K
 from tidemark.operators import aggregates as A
 from tidemark.operators import rolling as R
 from tidemark.operators.joins import symbol_pairs
-from tidemark.plans.series import Series
+from tidemark.plans.series import TICKS, Series, by_key_size
 from tidemark.sources import views as V
 
 EQ = Series(("strategy",), ("ts",), True)
@@ -236,7 +236,9 @@ h AS (SELECT *, max(value) OVER (PARTITION BY symbol, day ORDER BY ts, seq ROWS
 g AS (SELECT symbol, day, sum(realized) AS realized, arg_max(unrealized, (ts, seq)) AS unrealized, sum(fee) AS fees, max(value) AS high_water, min(value) AS low_water, max((high - value) / high) AS max_drawdown, arg_max(value, (ts, seq)) AS end_value FROM h GROUP BY 1, 2)
 SELECT symbol, day, {rs('realized unrealized fees high_water low_water end_value', 2)}, {r('max_drawdown')} AS max_drawdown, {r('coalesce(lag(end_value) OVER (PARTITION BY symbol ORDER BY day), 1000000)', 2)} AS start_value FROM g"""))
 def daily_pnl(spark, sf):
-    return shaped(K.daily_pnl(K.average_cost_positions(V.fills(spark, sf))), 2, per={"max_drawdown": 6})
+    d = V.fills(spark, sf).select("symbol", "ts", "seq", "side", "quantity", "price", "fee")
+    d = by_key_size(d, TICKS, lambda x, s: K.daily_pnl(K.average_cost_positions(x, s), s))
+    return shaped(d, 2, per={"max_drawdown": 6})
 
 
 KINDS = ["view", "click", "purchase"]

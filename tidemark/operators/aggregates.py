@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.maths import clip, ratio
 from tidemark.operators.ranking import latest_per_key, top_per_key
 from tidemark.operators.rolling import drawdown
 from tidemark.plans.quantiles import exact_percentiles
-from tidemark.plans.series import BARS, TICKS, Series, over_rows, running
-from tidemark.plans.sizing import broadcast_if_small
+from tidemark.plans.series import BARS, TICKS, Series, by_key_size, over_rows, running, so_far
+from tidemark.plans.sizing import broadcast_if_small, is_small, settled
 
 YEAR_DAYS = 365.25
 
@@ -88,7 +90,9 @@ def trade_summary(trades: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 def hourly_trading_metrics(trades: DataFrame, order: tuple[str, ...], unit: str = "hour") -> DataFrame:
     """Per time slice: pnl, Sharpe of trades, drawdown of the in-slice cumulative pnl, win rate."""
-    d = trades.withColumn("slice", F.date_trunc(unit, order[0]))
+    d = trades.select(F.date_trunc(unit, order[0]).alias("slice"), *order, "pnl")
+    if not is_small(d):
+        return _sliced_metrics(d, order)
     s = Series(("slice",), order)
     d = running(d, s, {"_cum": ("sum", F.col("pnl"))})
     d = running(d, s, {"_top": ("max", F.col("_cum"))})
@@ -99,6 +103,55 @@ def hourly_trading_metrics(trades: DataFrame, order: tuple[str, ...], unit: str
     )
 
 
+_NO_SLICE = -(2**62)
+_PIECE = "n long, total double, wins long, square double, top double, low double, worst double"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums and cumulative extremes of each slice's rows in each batch; batches come in order."""
+    for number, batch in enumerate(batches):
+        slices, cell, pnl = batch["_slice"].to_numpy(), batch["_cell"].to_numpy(), batch["pnl"]
+        if not len(slices):
+            continue
+        known = pnl.is_valid().to_numpy(zero_copy_only=False)
+        values = pnl.to_numpy(zero_copy_only=False)
+        starts = np.r_[0, np.flatnonzero(np.diff(slices)) + 1, len(slices)]
+        out = []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            x = values[a:b][known[a:b]]
+            row = {"_slice": int(slices[a]), "_cell": int(cell[a]), "_batch": number, "n": len(x)}
+            if len(x):
+                cum = np.cumsum(x)
+                row |= {"total": float(cum[-1]), "wins": int((x > 0).sum()), "square": float(((x - x.mean()) ** 2).sum()), "top": float(cum.max()),
+                        "low": float(cum.min()), "worst": float((cum - np.maximum.accumulate(cum)).min())}
+            out.append(row)
+        names = ["_slice", "_cell", "_batch", *[f.split()[0] for f in _PIECE.split(", ")]]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 4]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(names, kinds))))
+
+
+def _sliced_metrics(d: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The metrics of slices of any length: ranges of the whole order are summed up piece by piece, and the pieces of a slice
+    (one per some thousand rows) meet with the sums and the top of those before."""
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.coalesce(F.unix_micros("slice"), F.lit(_NO_SLICE)).alias("_slice")
+    ranged = d.repartitionByRange(parts, "slice", *order).sortWithinPartitions("slice", *order)
+    pieces = ranged.select(key, F.spark_partition_id().alias("_cell"), "pnl").mapInArrow(_pieces, f"_slice long, _cell int, _batch long, {_PIECE}")
+    w = Window.partitionBy("_slice").orderBy("_cell", "_batch")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = pieces.withColumn("_from", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    d = d.withColumn("_top", F.max(F.col("_from") + F.col("top")).over(before))
+    d = d.withColumn("_mean", F.sum("total").over(Window.partitionBy("_slice")) / F.sum("n").over(Window.partitionBy("_slice")))
+    fall = F.least(F.col("worst"), F.col("_from") + F.col("low") - F.col("_top"))
+    off = F.col("total") / F.col("n") - F.col("_mean")
+    n, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("square") + F.col("n") * off * off))
+    out = d.groupBy("_slice").agg(
+        F.sum("total").alias("pnl"), n.alias("trades"), _or0(ratio(F.sum("total") / n, F.sqrt(spread / n))).alias("sharpe"),
+        F.abs(F.min(fall)).alias("max_drawdown"), ratio(F.sum("wins"), n).alias("win_rate"),
+    )
+    return out.select(F.when(F.col("_slice") != _NO_SLICE, F.timestamp_micros("_slice")).alias("slice"), "pnl", "trades", "sharpe", "max_drawdown", "win_rate")
+
+
 def resample(df: DataFrame, keys: Sequence[str], value: str, label: str, ts: str = "ts", tie: str = "seq", unit: str = "day") -> DataFrame:
     """Sum of values and last label per calendar bucket; empty buckets between first and last read 0 and
     a null label."""
@@ -140,14 +193,20 @@ def transition_matrix(df: DataFrame, label: str, s: Series = TICKS) -> DataFrame
 
 def regime_durations(df: DataFrame, label: str, s: Series = TICKS) -> DataFrame:
     """Hours of the completed spells of each label: mean, median, population deviation, extremes."""
+    spells = by_key_size(df.select(*dict.fromkeys([*s.keys, *s.order, label])), s, lambda d, own: _spells(d, label, own))
+    if not is_small(spells):
+        spells = settled(spells)  # the moments and the percentiles read it
+    h = F.col("hours")
+    a = spells.groupBy(label).agg(F.count(h).alias("spells"), F.avg(h).alias("mean"), F.stddev_pop(h).alias("std"), F.min(h).alias("min"), F.max(h).alias("max"))
+    return a.join(broadcast_if_small(exact_percentiles(spells, [label], "hours", {"median": 0.5})), label)
+
+
+def _spells(df: DataFrame, label: str, s: Series) -> DataFrame:
     ts = s.order[0]
     d = over_rows(df, s, lambda x, w: x.withColumn("_prev", F.lag(label, 1).over(w)), before=1)
     starts = d.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(label)))
     spells = over_rows(starts, s, lambda x, w: x.withColumn("_next", F.lead(ts, 1).over(w)), after=1).filter(F.col("_next").isNotNull())
-    spells = spells.withColumn("hours", (F.unix_micros("_next") - F.unix_micros(ts)) / F.lit(3600e6))
-    h = F.col("hours")
-    a = spells.groupBy(label).agg(F.count(h).alias("spells"), F.avg(h).alias("mean"), F.stddev_pop(h).alias("std"), F.min(h).alias("min"), F.max(h).alias("max"))
-    return a.join(broadcast_if_small(exact_percentiles(spells, [label], "hours", {"median": 0.5})), label)
+    return spells.select(label, ((F.unix_micros("_next") - F.unix_micros(ts)) / F.lit(3600e6)).alias("hours"))
 
 
 def alert_counts(alerts: DataFrame, ts: str = "ts") -> DataFrame:
