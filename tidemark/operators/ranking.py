@@ -98,6 +98,12 @@ def symbol_coverage(clustered: DataFrame, universe: DataFrame) -> DataFrame:
 
 def merge_intervals(df: DataFrame, s: Series, end: str = "end") -> DataFrame:
     """Union of overlapping or touching intervals per key; ``s.order`` starts with the interval start."""
+    from tidemark.plans.series import by_key_size
+
+    return by_key_size(df, s, lambda d, own: _merge_intervals(d, own, end))
+
+
+def _merge_intervals(df: DataFrame, s: Series, end: str) -> DataFrame:
     from tidemark.plans.series import over_rows, running
 
     start = s.order[0]
