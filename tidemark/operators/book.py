@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.functions.maths import ratio
 from tidemark.operators.ranking import top_per_key
 from tidemark.plans.ranges import first_touch
-from tidemark.plans.series import TICKS, Series, asof, over_rows, over_time, running, with_position
+from tidemark.plans.series import TICKS, Series, asof, by_key_size, over_rows, over_time, running, with_position
 
 # the keys of the payload differ only in case (U, u), so it is read as a map
 DEPTH_SCHEMA = "stream string, data map<string, string>"
@@ -203,6 +203,10 @@ def market_fills(orders: DataFrame, quotes: DataFrame, latency_ms: int = 0, fee_
 
 def _touches(orders: DataFrame, quotes: DataFrame, s: Series, limit: str, buy_value: str, sell_value: str, buy_below: bool) -> DataFrame:
     """Positions of the first touching quote for buys and sells."""
+    return by_key_size(orders, s, lambda o, q, own: _touching(o, q, own, limit, buy_value, sell_value, buy_below), quotes)
+
+
+def _touching(orders: DataFrame, quotes: DataFrame, s: Series, limit: str, buy_value: str, sell_value: str, buy_below: bool) -> DataFrame:
     buys = first_touch(orders.filter("side = 'buy'"), quotes, s, "order_id", limit, buy_value, buy_below)
     sells = first_touch(orders.filter("side = 'sell'"), quotes, s, "order_id", limit, sell_value, not buy_below)
     hits = buys.unionByName(sells)
