@@ -158,8 +158,11 @@ def alert_runs(samples: DataFrame, keys: list[str], ts: str = "ts", tie: str = "
     value breaches nothing. Rows: ``keys``, alert, severity, started_at, fired_at, resolved_at.
     """
     s = Series((*keys, "alert"), (ts, tie))
-    d = _ruled(samples).select(*keys, "alert", "severity", "hold_s", ts, tie, "breach")
+    d = _ruled(samples).select(*keys, "alert", ts, tie, "breach")
     d = over_rows(d, s, lambda x, w: x.withColumn("_before", F.lag("breach", 1, False).over(w)), before=1)
+    d = d.filter(F.col("breach") | F.col("_before"))  # a run is its breaching samples and the first one after them
+    of_rule = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("alert")]
+    d = d.withColumns({"severity": of_rule({a: level for a, _, _, _, level in ALERT_RULES}), "hold_s": of_rule(ALERT_HOLDS)})
     # a run is named by the time and the tie of its first sample, and lasts in this sense until the next one starts
     first = F.when(F.col("breach") & ~F.col("_before"), F.struct(ts, tie))
     d = running(d, s, {"_run": ("last", first)}).filter("_run IS NOT NULL")
