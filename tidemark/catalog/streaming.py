@@ -18,32 +18,44 @@ from tidemark.streaming import windows as W
 TICK = "symbol string, ts timestamp, seq bigint, price double, channel string"
 CUTS = ("2024-01-11", "2024-01-21")
 DAY = 86_400.0
-# files that each piece of a topic lands in, and that one micro-batch reads; rows of a piece
+# files that each piece of a topic lands in at least, and that one micro-batch reads; rows of a file beyond that; rows of a
+# key in a piece
 FILES = 4
+FILE_ROWS = 250_000
 PIECE = 1_000_000
 
 
-def _pieces(t):
-    """Conditions of time slices of about equal and bounded size, three at least."""
-    n = max(3, -(-t.count() // PIECE))
+def _cuts(t, key):
+    """Times that cut the table into slices of about equal size, three at least and as many as keep the rows of a key in a
+    slice bounded; files of a slice. A key costs a call per slice, so slices do not grow in number with the keys."""
+    rows, longest = t.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n = max(3, -(-longest // PIECE))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = t.select(at.cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)
-    low = [F.lit(True), *[at >= int(c) for c in cuts]]
-    high = [*[at < int(c) for c in cuts], F.lit(True)]
-    return [a & b for a, b in zip(low, high)]
+    return [int(c) for c in cuts], max(FILES, -(-rows // (n * FILE_ROWS)))
 
 
 def _topic(spark, sf, key="symbol"):
-    """Ticks as a file topic, landed in time-ordered pieces, as many as the table needs."""
+    """Ticks as a file topic, landed in time-ordered pieces, as many as the table needs, and the files of a piece. The table
+    is read once into its pieces, and each piece once into the topic."""
     path = scratch(spark, "topic")
     t = V.ticks(spark, sf).select("symbol", "ts", "seq", "price", "channel")
-    for piece in _pieces(t) if t.head(1) else []:
-        P.land_messages(t.filter(piece).repartition(FILES), path, key)
-    return path
+    if not t.head(1):
+        return path, FILES
+    cuts, files = _cuts(t, key)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    staged = scratch(spark, "pieces")
+    piece = sum((F.when(at >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    t.filter(at.isNotNull()).withColumn("piece", piece).write.partitionBy("piece").parquet(staged)
+    pieces = spark.read.schema("symbol string, ts timestamp, seq bigint, price double, channel string, piece int").parquet(staged)
+    for number in range(len(cuts) + 1):
+        P.land_messages(pieces.filter(F.col("piece") == number).drop("piece").repartition(files), path, key)
+    return path, files
 
 
 def _stream(spark, sf):
-    return P.read_topic(spark, _topic(spark, sf), TICK, files_per_trigger=FILES)
+    path, files = _topic(spark, sf)
+    return P.read_topic(spark, path, TICK, files_per_trigger=files)
 
 
 def _table(spark, stream, mode="append"):
@@ -101,8 +113,8 @@ def sessions(spark, sf):
 
 @query("x05_stream_stream_join", sql("ticks", "SELECT l.symbol AS l_symbol, l.seq AS l_seq, r.seq AS r_seq FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND l.channel = 'view' AND r.channel = 'click' AND r.ts BETWEEN l.ts AND l.ts + INTERVAL 6 HOUR"))
 def stream_join(spark, sf):
-    path = _topic(spark, sf)
-    side = lambda c: W.watermarked(P.read_topic(spark, path, TICK, files_per_trigger=FILES).filter(F.col("channel") == c).select("symbol", "ts", "seq"), "1 hour")
+    path, files = _topic(spark, sf)
+    side = lambda c: W.watermarked(P.read_topic(spark, path, TICK, files_per_trigger=files).filter(F.col("channel") == c).select("symbol", "ts", "seq"), "1 hour")
     return _table(spark, W.interval_stream_join(side("view"), side("click"), "symbol", "6 hours")).select("l_symbol", "l_seq", "r_seq")
 
 
