@@ -199,12 +199,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     classes = prints.groupBy("fp").agg(F.min("k").alias("least"))
     roots = components(links(prints, radius)).withColumnRenamed("node", "fp")
     roots = written(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    pair = F.col("k").alias("_of_k"), F.col("th").alias("_of_th")  # the columns of ``docs`` may have any plain name
     # the smallest key of a component, and of its texts the one of the least hash
     first = prints.where("k IS NOT NULL").join(roots, "fp").groupBy("root").agg(F.min(F.struct("k", "th")).alias("first"))
-    first = written(first.select("first.*").groupBy("k", "th").count().select("k", "th"))
+    first = written(first.select("first.*").groupBy("k", "th").count().select(*pair))
     own = docs.withColumn("_th", F.xxhash64(text_of(text)))
-    kept = own.join(first, (F.col(key) == F.col("k")) & (F.col("_th") == F.col("th")), "left_semi")
-    several = written(prints.where("k IS NOT NULL").groupBy("k", "th").count().where("count > 1").select("k", "th"))
-    same = (F.col(key) == F.col("k")) & (F.col("_th") == F.col("th"))
+    same = (F.col(key) == F.col("_of_k")) & (F.col("_th") == F.col("_of_th"))
+    kept = own.join(first, same, "left_semi")
+    several = written(prints.where("k IS NOT NULL").groupBy("k", "th").count().where("count > 1").select(*pair))
     repeated = kept.join(several, same, "left_semi").dropDuplicates([key, "_th"])
     return kept.join(several, same, "left_anti").unionByName(repeated).unionByName(own.where(F.col(key).isNull())).drop("_th")
