@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import features as FE
 from tidemark.operators import models as M
@@ -83,3 +84,31 @@ def test_odd_rules_and_empty_series(spark):
         FE.anomaly_rules(made(spark), [("a", "k", "pnl", "guess", 1.0, 1)])
     rules = [*RULES, ("p", "k", "shift", "changepoint", 0.3, 48), ("r", "k", "volume", "isolation_forest", 0.01, 1)]
     assert FE.anomaly_rules(made(spark).limit(0), rules).count() == 0
+
+
+def test_one_long_series_fills_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.plans.series.HEAVY_SMALL_MB", 0, raising=False)
+    monkeypatch.setattr(FE, "FRAME_ROWS", 200, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = spark.createDataFrame([("pnl", k, k, float(k * 7919 % 1009)) for k in range(4000)], "metric string, ts long, seq long, value double").repartition(4)
+        tasks = lambda d: d.select(F.spark_partition_id()).distinct().count()
+        assert tasks(FE.anomaly_rules(one, [("a", "k", "pnl", "zscore", 1.0, 24), ("b", "k", "pnl", "iqr", 0.1, 24)])) > 2
+        assert tasks(M.isolation_scores(M.window_features(one, "value", S), ["value", "f_mean"], list(S.keys + S.order), trees=5, group="metric")) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_packed_trees_walk_like_nodes():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 1, (400, 3)), 1)
+    trees = [np.array(M._grow(x[k::4][:64], rng, 6)) for k in range(4)] + [np.array(M._grow(x[:1], rng, 1))]
+
+    def length(nodes, row):
+        at = depth = 0
+        while nodes[at, 0] >= 0:
+            at, depth = int(nodes[at, 2 if row[int(nodes[at, 0])] < nodes[at, 1] else 3]), depth + 1
+        return depth + float(M._expected_depth(nodes[at, 4:5])[0])
+
+    want = [sum(length(t, row) for t in trees) / len(trees) for row in x]
+    assert M._path_lengths(x, [M._packed(t) for t in trees]).tolist() == pytest.approx(want, rel=1e-15)

@@ -431,6 +431,30 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[floa
     return nodes
 
 
+def _packed(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """An isolation tree as feature, split, children (two per node) and path length per node, and its depth. Leaves
+    lead to themselves, so rows walk all levels without a test for leaves."""
+    leaf, own = nodes[:, 0] < 0, np.arange(len(nodes))
+    kids = np.where(leaf[:, None], own[:, None], nodes[:, 2:4]).astype(np.intp)
+    depth = np.zeros(len(nodes))
+    for i in own[~leaf]:  # parents come before their children
+        depth[kids[i]] = depth[i] + 1
+    return np.where(leaf, 0, nodes[:, 0]).astype(np.intp), nodes[:, 1].copy(), kids.ravel(), depth + _expected_depth(nodes[:, 4]), int(depth.max())
+
+
+def _path_lengths(x: np.ndarray, forest: Sequence[tuple]) -> np.ndarray:
+    """Mean path length of every row over the packed trees."""
+    flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    total = np.zeros(len(x))
+    for feature, cut, kids, path, levels in forest:
+        at = np.zeros(len(x), dtype=np.intp)
+        for _ in range(levels):
+            left = flat[first + feature[at]] < cut[at]
+            at = kids[2 * at + ~left]
+        total += path[at]
+    return total / len(forest)
+
+
 def _expected_depth(n: np.ndarray) -> np.ndarray:
     n = np.asarray(n, float)
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
@@ -440,17 +464,19 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key: str | Sequence
     """Isolation-forest scores of every row and whether they lie in the top ``contamination`` share.
 
     A hash of row and tree draws each tree's sample; trees grow in parallel from at most ``sample`` rows
-    and come to the driver as at most ``trees * 2 * sample`` nodes. Scoring is a scan. With ``group`` every value of
+    and come to the driver as at most ``trees * 2 * sample`` nodes. Scoring is a scan, dealt by the keys, so that it
+    does not run in as many tasks as there are series. With ``group`` every value of
     that column, one of the keys, has a forest and a ``cut`` of its own; meant for a few named series.
     """
     cols, keys = list(features), [key] if isinstance(key, str) else list(key)
     data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols + ([group] if group else keys))
+    data = checkpointed(data.repartition(*keys))  # read to count, to draw and to score
     sizes = {r[0]: r["count"] for r in data.groupBy(group or F.lit("")).count().collect()}
     share = {g: min(1.0, 2.0 * sample / n) for g, n in sizes.items()}
     drawn_share = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])[F.col(group)] if group and share else F.lit(share.get("", 1.0))
-    draw = lambda t: F.pmod(F.xxhash64(*keys, t, F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
-    ids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < drawn_share)
-    drawn = data.withColumn("_tree", F.explode(ids)).withColumn("_h", F.xxhash64(*keys, F.col("_tree"), F.lit(SEED + 1)))
+    every = data.withColumn("_share", drawn_share).withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = every.filter(F.pmod(F.xxhash64(*keys, "_tree", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0 < F.col("_share")).drop("_share")
+    drawn = drawn.withColumn("_h", F.xxhash64(*keys, F.col("_tree"), F.lit(SEED + 1)))
     per = ["_tree", group] if group else ["_tree"]
     picked = top_per_key(drawn, per, [F.col("_h").asc(), *[F.col(k).asc() for k in keys]], sample)
     limits = {g: math.ceil(math.log2(max(2, min(sample, n)))) for g, n in sizes.items()}
@@ -462,26 +488,12 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key: str | Sequence
         return pd.DataFrame({"grp": [g], "tree": [t], "size": [len(x)], "nodes": [[v for row in nodes for v in row]]})
 
     types = dict(df.dtypes)
-    rows = picked.groupBy(*per).applyInPandas(grow, f"grp {types[group] if group else 'string'}, tree int, size int, nodes array<double>").orderBy("grp", "tree").collect()
+    rows = picked.groupBy(*per).applyInPandas(grow, f"grp {types[group] if group else 'string'}, tree int, size int, nodes array<double>").collect()
     forests: dict = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["tree"]):
         forests.setdefault(r["grp"], []).append((np.array(r["nodes"]).reshape(-1, 5), r["size"]))
     norms = {g: float(np.mean([_expected_depth(np.array([size]))[0] for _, size in forest])) or 1.0 for g, forest in forests.items()}
-
-    def depths(x: np.ndarray, forest: list) -> np.ndarray:
-        total = np.zeros(len(x))
-        for nodes, _ in forest:
-            at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-            live = nodes[at, 0] >= 0
-            while live.any():
-                i = np.flatnonzero(live)
-                here = nodes[at[i]]
-                left = x[i, here[:, 0].astype(int)] < here[:, 1]
-                at[i] = np.where(left, here[:, 2], here[:, 3]).astype(int)
-                depth[i] += 1
-                live[i] = nodes[at[i], 0] >= 0
-            total += depth + _expected_depth(nodes[at, 4])
-        return total / len(forest)
+    packed = {g: [_packed(nodes) for nodes, _ in forest] for g, forest in forests.items()}
 
     def score(batches):
         for pdf in batches:
@@ -490,14 +502,13 @@ def isolation_scores(df: DataFrame, features: Sequence[str], key: str | Sequence
             for g in pdf[group].unique() if group else [""]:
                 rows = (pdf[group] == g).to_numpy() if group else np.ones(len(pdf), bool)
                 if rows.any():
-                    out.loc[rows, "score"] = 2.0 ** (-depths(pdf.loc[rows, cols].to_numpy(float), forests[g]) / norms[g])
+                    out.loc[rows, "score"] = 2.0 ** (-_path_lengths(pdf.loc[rows, cols].to_numpy(float), packed[g]) / norms[g])
             yield out
 
-    scored = data.mapInPandas(score, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double")
+    scored = checkpointed(data.mapInPandas(score, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", score double"))
     if not group:
         cut = exact_percentiles(scored, [], "score", {"_cut": 1.0 - contamination})
         return scored.crossJoin(F.broadcast(cut)).withColumn("anomaly", F.col("score") > F.col("_cut")).drop("_cut")
-    scored = checkpointed(scored)
     cut = exact_percentiles(scored, [group], "score", {"cut": 1.0 - contamination})
     return scored.join(broadcast_if_small(cut), group).withColumn("anomaly", F.col("score") > F.col("cut"))
 
