@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.maths import ratio
 from tidemark.operators import states as S
+from tidemark.operators.bocd import LANES
 from tidemark.operators.rolling import true_range
 from tidemark.plans.filters import kalman_scan
 from tidemark.plans.folds import fold
@@ -13,8 +14,10 @@ from tidemark.plans.scans import affine_scans
 from tidemark.plans.series import BARS, TICKS, Series, by_key_size, over_rows, rows_before, with_position
 
 
-# a step of the detector works on some hundred run lengths, so its blocks are shorter than those of other folds
-BOCD_ROWS = 25_000
+# a step of the detector works on some hundred run lengths: a block has this many rows for each of the stretches that advance
+# side by side, and so many rows ahead of it are mostly enough to forget what came before them
+BOCD_ROWS = 8_192
+BOCD_WARM = 3_000
 
 
 def _ddl(df: DataFrame, keep: list[str]) -> str:
@@ -22,10 +25,10 @@ def _ddl(df: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in keep)
 
 
-def _run(df: DataFrame, s: Series, keep: list[str], step, schema: str, needs: list[str], rows: int | None = None) -> DataFrame:
-    """Fold over only the columns the step reads, in blocks of ``rows`` rows at most where given."""
+def _run(df: DataFrame, s: Series, keep: list[str], step, schema: str, needs: list[str], rows: int | None = None, warm: int = 0) -> DataFrame:
+    """Fold over only the columns the step reads, in blocks of ``rows`` rows at most where given, started ``warm`` rows ahead."""
     columns = list(dict.fromkeys([*s.keys, *s.order, *keep, *needs]))
-    return by_key_size(df.select(*columns), s, lambda d, own: fold(d, own, step, f"{_ddl(df, keep)}, {schema}", rows))
+    return by_key_size(df.select(*columns), s, lambda d, own: fold(d, own, step, f"{_ddl(df, keep)}, {schema}", rows, warm))
 
 
 def ewm(df: DataFrame, value: str, out: str, span: float | None = None, alpha: float | None = None, adjust: bool = True, s: Series = TICKS) -> DataFrame:
@@ -104,7 +107,7 @@ def kalman_hedge_ratio(df: DataFrame, value: str, s: Series, keep: list[str], **
 
 
 def bocd(df: DataFrame, value: str, s: Series, keep: list[str], **params) -> DataFrame:
-    return _run(df, s, keep, S.bocd_step(value, keep, **params), S.BOCD_SCHEMA, [value], BOCD_ROWS)
+    return _run(df, s, keep, S.bocd_step(value, keep, **params), S.BOCD_SCHEMA, [value], BOCD_ROWS * LANES, BOCD_WARM)
 
 
 def circuit_breaker(df: DataFrame, s: Series, keep: list[str], least: float = 0.1) -> DataFrame:

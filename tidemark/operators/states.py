@@ -11,6 +11,8 @@ import math
 import numpy as np
 import pandas as pd
 
+from tidemark.operators.bocd import BOCD_SCHEMA, bocd_step  # noqa: F401
+
 KALMAN_SCHEMA = "hedge_ratio double, velocity double, variance double, half_width double, innovation double, innovation_variance double, log_likelihood double"
 
 
@@ -45,100 +47,6 @@ def kalman_step(value: str, keep: list[str], ratio: float = 1.0, q: float = 1e-5
     return step
 
 
-BOCD_SCHEMA = "probability double, run_length bigint, recent_std double, level string"
-
-
-def bocd_step(value: str, keep: list[str], hazard: float = 1 / 250, longest: int = 500, warmup: int = 10, adaptive: bool = False,
-              alpha0: float = 1.0, beta0: float = 1.0, kappa0: float = 1.0, mu0: float = 0.0, memory: int = 1000):
-    """Online change-point probabilities with a Student-t predictive from the last r values.
-
-    Suffix sums give every run length's mean and variance at once, so a step is one pass over the run
-    lengths. With ``adaptive`` the hazard follows recent volatility and trend.
-    """
-    n = np.arange(longest + 1, dtype=float)
-    alpha = alpha0 + n / 2
-    kappa = kappa0 + n
-    df = 2 * alpha
-    power = (df + 1) / 2
-    stretch = (kappa + 1) / (alpha * kappa)
-    lead = np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in alpha])
-    below = np.maximum(n - 1, 1)
-
-    def predictive(x: float, data: np.ndarray, size: int) -> np.ndarray:
-        """Density of x under run lengths 0..size-1; run length k sees the last k values (x among them)."""
-        tail = data[: -size: -1] if size > 1 else data[:0]
-        k = n[1:size]
-        mean = np.cumsum(tail) / k
-        base = tail[:1].sum()
-        dev = np.cumsum((tail - base) ** 2) - k * (mean - base) ** 2
-        var = np.maximum(dev, 0.0) / below[1:size]
-        var[:1] = 1.0
-        mu, beta = np.empty(size), np.empty(size)
-        mu[0], beta[0] = mu0, beta0
-        mu[1:] = (kappa0 * mu0 + k * mean) / kappa[1:size]
-        beta[1:] = beta0 + 0.5 * k * (var + kappa0 * (mean - mu0) ** 2 / kappa[1:size])
-        scale2 = beta * stretch[:size]
-        logp = lead[:size] - 0.5 * np.log(scale2) - power[:size] * np.log1p((x - mu) ** 2 / (df[:size] * scale2))
-        return np.maximum(np.exp(logp), 1e-10)
-
-    def hazard_of(data: np.ndarray) -> float:
-        if len(data) < 50:
-            return hazard
-        recent, trend = data[-50:], data[-20:]
-        whole = data.std()
-        factor = 1 + 0.5 * (recent.std() / whole - 1) if whole > 0 else 1.0
-        i = np.arange(len(trend)) - (len(trend) - 1) / 2
-        slope = float((i * (trend - trend.mean())).sum() / (i * i).sum())
-        factor *= 1 + 0.3 * abs(slope) / (trend.std() + 1e-8)
-        return hazard * float(np.clip(factor, 0.1, 5.0))
-
-    keep_values = memory if adaptive else longest
-
-    def recent_deviation(values: np.ndarray, skip: int) -> np.ndarray:
-        """Population deviation of the last 20 values at each position from ``skip`` on."""
-        if len(values) <= 20:
-            return np.array([values[: i + 1].std() for i in range(skip, len(values))])
-        full = np.lib.stride_tricks.sliding_window_view(values, 20).std(axis=1)
-        head = [values[: i + 1].std() for i in range(19)]
-        return np.r_[head, full][skip:]
-
-    def step(rows: pd.DataFrame, state):
-        seen, h, past, probs = state or (0, hazard, (), (1.0,))
-        probs = np.asarray(probs, float)
-        skip = len(past)
-        values = np.r_[np.asarray(past, float), rows[value].to_numpy(float)]
-        p_out, likely_out = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
-        for j in range(len(rows)):
-            i = skip + j
-            x = values[i]
-            if adaptive and i >= 50:
-                h = hazard_of(values[max(0, i - memory): i])
-            seen = min(seen + 1, warmup)
-            if seen >= warmup:
-                size = len(probs)
-                pred = predictive(x, values[: i + 1], size)
-                grow = pred * probs * (1 - h)
-                change = pred[0] * probs.sum() * h
-                total = grow.sum() + change
-                p_out[j] = min(1.0, max(0.0, change / total)) if total > 0 else 0.0
-                new = np.empty(min(size + 1, longest))
-                new[0] = p_out[j]
-                new[1:] = grow[: len(new) - 1]
-                mass = new.sum()
-                if mass > 0:
-                    probs = new / mass
-                else:
-                    probs = np.zeros(len(new))
-                    probs[0] = 1.0
-            likely_out[j] = probs.argmax()
-        level = np.select([p_out >= 0.9, p_out >= 0.7, p_out >= 0.5], ["very_high", "high", "medium"], "low")
-        out = rows[keep].reset_index(drop=True)
-        out = out.assign(probability=p_out, run_length=likely_out, recent_std=recent_deviation(values, skip), level=level)
-        return out, (seen, h, tuple(values[-keep_values:].tolist()), tuple(probs.tolist()))
-
-    return step
-
-
 BREAKER_SCHEMA = "state string, event string, severity string"
 # Thresholds, counts and durations (seconds) of the circuit breaker.
 BREAKER = {"warning": 0.5, "halt": 0.7, "critical": 0.9, "warnings": 3, "high_events": 2, "min_halt": 300.0, "max_halt": 7200.0,
